@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from driftsum.llm.bpe import op9_bpe
+from driftsum.llm.media import op7_media
+from driftsum.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op7_media": op7_media,
     "op9_bpe": op9_bpe,
 }
 
