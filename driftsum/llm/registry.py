@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from driftsum.llm import mixing, warc
 from driftsum.llm.bpe import op9_bpe
 from driftsum.llm.media import op7_media
 from driftsum.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op4_toxicity": op4_toxicity,
+    "op5_mixing": mixing.op5_mixing,
     "op7_media": op7_media,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
+    "op5_mixing": mixing.SQL,
+}
