@@ -6,6 +6,7 @@ from driftsum.llm import mixing, warc
 from driftsum.llm.bpe import op9_bpe
 from driftsum.llm.media import op7_media
 from driftsum.llm.minhash import op1_minhash
+from driftsum.llm.substring import op10_substring
 from driftsum.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op7_media": op7_media,
     "op9_bpe": op9_bpe,
+    "op10_substring": op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {
