@@ -6,12 +6,14 @@ from driftsum.llm import mixing, warc
 from driftsum.llm.bpe import op9_bpe
 from driftsum.llm.media import op7_media
 from driftsum.llm.minhash import op1_minhash
+from driftsum.llm.secrets import op3_secrets
 from driftsum.llm.substring import op10_substring
 from driftsum.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": warc.op2_warc,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op7_media": op7_media,
