@@ -9,6 +9,7 @@ from driftsum.llm.minhash import op1_minhash
 from driftsum.llm.secrets import op3_secrets
 from driftsum.llm.substring import op10_substring
 from driftsum.llm.toxicity import op4_toxicity
+from driftsum.llm.vectors import op8_vectors
 
 QUERIES = {
     "op1_minhash": op1_minhash,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op7_media": op7_media,
+    "op8_vectors": op8_vectors,
     "op9_bpe": op9_bpe,
     "op10_substring": op10_substring,
 }
