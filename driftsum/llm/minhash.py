@@ -9,11 +9,13 @@ threshold, and the rest is confirmed on the full shingle sets.
 
 A pair at the threshold misses all bands with probability (1 - 0.85**4)**32 = 6e-11 (0.8: 5e-8).
 
-No bucket is ever expanded into pairs of equals. Equal sets become one node first. Then star
-rounds: in each bucket that still holds several components, the members of other components are
-tested against one centre. What several rounds leave open is compared block by block: the members
-outside the bucket's largest component against all of them, with a bounded number of documents in
-memory. Shingles are told apart by 64-bit hashes.
+No pair list is ever made of a bucket. Equal sets become one node first. Within a bucket, registers
+alone are compared, and what goes on is a forest that connects likely pairs: at most one edge a
+member. Its components are clusters; every true link lies inside one. A cluster's documents are
+confirmed against its smallest one; in clusters that this leaves in several components, the
+documents outside the largest are confirmed against all, until they are joined or every likely
+pair was tested. Buckets and clusters of any size are cut into units of bounded memory. Shingles are
+told apart by 64-bit hashes.
 
 Defined results: null text, and text without words, is an empty set, linked with nothing; fewer
 words than a shingle has form one shingle; a null doc_id links nothing and its row stays; rows that
@@ -24,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from driftsum.session import materialize, release, table
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
 WORDS, PERCENT = 5, 80  # five words, similarity 0.8
-STAR_ROUNDS, BLOCK = 4, 2048
+BLOCK, CLUSTER = 2048, 256
 SIGMAS = 5.0
 _U = np.uint64
 _REST = 57  # bits left of a hash after the choice of one of 128 buckets
@@ -106,15 +109,88 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
-def _bands(nodes: DataFrame, *more: str) -> DataFrame:
-    """(band, key, node, n, ...): a row for each band with a register that is not empty."""
+def _bands(nodes: DataFrame) -> DataFrame:
+    """(key, node): a row for each band with a register that is not empty."""
     part = lambda i: F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))
     empty = F.lit(bytearray(2 * ROWS))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.when(part(i) != empty, F.xxhash64(i, part(i))))
-    return nodes.select(F.posexplode(keys).alias("band", "key"), "node", "n", *more).where("key is not null")
+    return nodes.select(F.explode(keys).alias("key"), "node").where("key is not null")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _cut(rows: DataFrame, size: str, block: int) -> DataFrame:
+    """``rows`` with unit (i, j) and side: groups of ``size`` rows are cut by hash into parts of about ``block``; each pair of parts is a unit."""
+    cuts = F.ceil(F.col(size) / block)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), cuts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other")
+
+
+def _merge(root: np.ndarray, at: np.ndarray) -> None:
+    """Give all rows of the groups of ``at`` the smallest root of these."""
+    groups = np.unique(root[at])
+    root[np.isin(root, groups)] = groups[0]
+
+
+def _bucket_roots(side: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest row with which each row of a unit is connected over likely pairs."""
+    root = np.arange(len(n))
+    one_set = not side.any()
+    right = np.flatnonzero(side) if not one_set else root.copy()
+    for k in range(len(n)) if one_set else np.flatnonzero(side == 0):
+        at = right[k + 1 :] if one_set else right
+        at = at[root[at] != root[k]]
+        if len(at):
+            at = at[likely(sig[k], sig[at], n[k], n[at], percent)]
+            if len(at):
+                _merge(root, np.append(at, k))
+    return root
+
+
+def _likely_edges(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect, in each bucket, what likely pairs connect; at most one for each member of a unit."""
+    rows = shared.select("key", "node", "size").join(nodes.select("node", "n", "sig"), "node")
+    rows = _cut(rows, "size", BLOCK).select("key", "i", "j", "node", "side", "n", "sig")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Whole units, one after the other; those of two rows, by far the most, are tested at once."""
+        key, i, j, node, side, n, sig = cols
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.append(start, len(key)))
+        a = start[size == 2]
+        a = a[likely(sig[a], sig[a + 1], n[a], n[a + 1], percent)]
+        found = [(node[a], node[a + 1])]
+        for lo, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            part = slice(lo, lo + m)
+            root = _bucket_roots(side[part], n[part], sig[part], percent)
+            at = np.flatnonzero(root != np.arange(m))
+            found.append((node[part][root[at]], node[part][at]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint16).reshape(-1, BUCKETS)]
+            if rest:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            # the last unit may go on in the next batch
+            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+            end = len(same) - int(same.sum())
+            if end:
+                yield from solve([x[:end] for x in cols])
+            rest = [x[end:] for x in cols]
+        if rest:
+            yield from solve(rest)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _reaches(common: int, n: int, m: int, percent: int) -> bool:
+    return 100 * common >= percent * (n + m - common)
+
+
+def _verify_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
     A centre a with many partners is dealt out to groups of about 256; within a group rows stream
@@ -124,7 +200,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("salt"))
     members = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role"))
     centres = salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct()
-    rows = texts.join(members.unionAll(centres), "doc_id").select("a", "salt", "role", "doc_id", "text")
+    rows = texts.hint("merge").join(members.unionAll(centres), "doc_id").select("a", "salt", "role", "doc_id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,95 +213,89 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 s = shingles(text, words)
                 if role == 0:
                     sets.append(s)
-                    continue
-                for centre in sets:
-                    common = len(np.intersect1d(centre, s, assume_unique=True))
-                    if 100 * common >= percent * (len(centre) + len(s) - common):
-                        found[0].append(a)
-                        found[1].append(doc)
-                        break
+                elif any(_reaches(len(np.intersect1d(c, s, assume_unique=True)), len(c), len(s), percent) for c in sets):
+                    found[0].append(a)
+                    found[1].append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose registers allow the threshold."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                sig = [np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3)]
-                n, m = (x.column(i).to_numpy() for i in (4, 5))
-                yield x.select(["a", "b"]).filter(pa.array(likely(*sig, n, m, percent)))
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def _open_buckets(bands: DataFrame) -> DataFrame:
-    """(key, lead, size): buckets of three nodes or more that still hold several components (two nodes: the first round has tested them)."""
-    by = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return by.where("size > 2 and lo < hi").select("key", "size")
-
-
-def _block_pairs(bands: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components in one bucket, for the buckets that are still open.
-
-    In each bucket the members outside its largest component (minor) meet all members. Both are cut
-    into blocks of about BLOCK; a pair of blocks is one unit of work, the only thing held in memory.
-    A pair that shares several buckets is reported by its first band.
+class _Minor:
+    """A part of a cluster's documents outside its largest component, and the links found for them."""
+
+    def __init__(self, words: int, percent: int):
+        self.words, self.percent = words, percent
+        self.rows: list[tuple] = []
+        self.joined: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        while label in self.joined:
+            label = self.joined[label]
+        return label
+
+    def read(self, rows: list[tuple[int, int, str]]) -> list[tuple]:
+        out = []
+        for node, label, text in rows:
+            s = shingles(text, self.words)
+            out.append((node, label, s, registers(s), len(s)))
+        return out
+
+    def meet(self, rows: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+        """Pairs of linked documents that join two components; every likely pair of different components is tested."""
+        others = self.read(rows)
+        sigs, sizes = np.stack([x[3] for x in others]), np.array([x[4] for x in others])
+        for node, label, s, sig, n in self.rows:
+            at = np.flatnonzero(likely(sig, sigs, n, sizes, self.percent))
+            agree = (sigs[at].view(np.uint64) == sig.view(np.uint64)) & (sig.view(np.uint64) > 0)
+            for k in at[agree.any(axis=1)].tolist():
+                node_b, label_b, t, _, m = others[k]
+                a, b = self.root(label), self.root(label_b)
+                if a != b:
+                    place = np.minimum(np.searchsorted(s, t), n - 1)
+                    if _reaches(int((s[place] == t).sum()), n, m, self.percent):
+                        self.joined[max(a, b)] = min(a, b)
+                        yield node, node_b
+
+
+def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components (label) of one cluster, as many as join what is linked.
+
+    In clusters of three documents or more that still hold several components, the members outside the
+    largest one (minor) meet all members. Both are cut into parts of about CLUSTER; a pair of parts is
+    one unit of work: its minor part is held, the other one streams past.
     """
-    by = bands.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    by = by.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("labels"))
-    by = by.where("labels > 1 and size > 2").select("key", F.col("top.label").alias("top"), F.ceil(F.col("size") / BLOCK).alias("wide"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).alias("tall"))
-    rows = bands.join(by, "key").withColumn("h", F.xxhash64("node"))
-    column = F.pmod("h", F.col("wide"))
-    row = F.pmod(F.shiftrightunsigned("h", 20), F.col("tall"))
-    everyone = rows.select("*", column.alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tall") - 1)).alias("i"), F.lit(1).alias("role"))
-    minor = rows.where("label <> top").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), row.alias("i"), F.lit(0).alias("role"))
-    names = ["key", "i", "j", "role", "node", "n", "label", "sig", "band"]
-    units = everyone.select(*names).unionAll(minor.select(*names)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-
-    def compare(band, small, large) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """small: (node, n, label, sig) of the minor block; large: a part of the other one."""
-        for k in range(len(small[0])):
-            node, n, label, sig = (x[k] for x in small)
-            other = (large[2] != label) & (100 * np.minimum(n, large[1]) >= percent * np.maximum(n, large[1]))
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            bands_a, bands_b = sig.view(np.uint64), large[3][at].view(np.uint64)
-            agree = (bands_a == bands_b) & (bands_a > 0)
-            first = agree.argmax(axis=1)
-            at = at[(first == band) & agree.any(axis=1)]
-            at = at[likely(sig, large[3][at], n, large[1][at], percent)]
-            if len(at):
-                yield np.minimum(node, large[0][at]), np.maximum(node, large[0][at])
+    by = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    by = by.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("labels"))
+    by = by.where("labels > 1 and size > 2")
+    by = by.select("cluster", F.col("top.label").alias("top"), F.ceil(F.col("size") / CLUSTER).alias("wide"), F.ceil((F.col("size") - F.col("top.c")) / CLUSTER).alias("tall"))
+    rows = members.join(by, "cluster").withColumn("h", F.xxhash64("node"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    everyone = rows.select("*", F.pmod("h", F.col("wide")).alias("j"), numbers("tall").alias("i"), F.lit(1).alias("role"))
+    minor = rows.where("label <> top").select("*", numbers("wide").alias("j"), F.pmod(F.shiftrightunsigned("h", 20), F.col("tall")).alias("i"), F.lit(0).alias("role"))
+    names = ["cluster", "i", "j", "role", "node", "label"]
+    units = everyone.select(*names).unionAll(minor.select(*names))
+    units = texts.withColumnRenamed("doc_id", "node").hint("merge").join(units, "node").select(*names, "text")
+    units = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, small = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            role, node, n, label = (b.column(i).to_numpy() for i in (3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            band = b.column(8).to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (role[1:] != role[:-1])) + 1), len(node)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                unit = tuple(keys[lo])
-                part = [x[lo:hi] for x in (node, n, label, sig)]
-                if unit != at:
-                    at, small = unit, None
-                if role[lo] == 0:
-                    small = part if small is None else [np.concatenate(x) for x in zip(small, part, strict=True)]
-                elif small is not None:
-                    for p, q in compare(band[lo], small, part):
-                        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
-
-    return units.mapInArrow(run, "a long, b long").distinct()
+        at, part = None, _Minor(words, percent)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 128):
+                b = whole.slice(start, 128)
+                rows = [*zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                found = []
+                for key, group in groupby(rows, key=lambda r: r[:4]):
+                    if key[:3] != at:
+                        at, part = key[:3], _Minor(words, percent)
+                    docs = [r[4:] for r in group]
+                    if key[3] == 0:
+                        part.rows += part.read(docs)
+                    elif part.rows:
+                        found += part.meet(docs)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -237,46 +307,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sigs = materialize(signatures(docs, words), "minhash-signatures")
     sets = sigs.where("h1 is not null and doc_id is not null")
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    own = sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig")
-    nodes = materialize(own, "minhash-nodes")
+    nodes = materialize(sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes")
 
     bands = _bands(nodes)
-    centres = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
-    centres = materialize(centres.where("c.node < hi").select("key", F.col("c.node").alias("a"), F.col("c.n").alias("m"), "size"), "minhash-buckets")
-    shared = materialize(bands.join(centres, "key").select("band", "key", "node", "n", "a", "m", "size"), "minhash-shared")
-    # only documents in shared buckets can be linked: from here on nothing else is read again
-    active = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(active, "doc_id", "left_semi")
-    texts = materialize(texts, "minhash-texts")
-    nodes = nodes.join(active.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = shared.where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct()
-    edges = [materialize(_verify(_likely_pairs(pairs, nodes, percent), texts, words, percent), "minhash-edges")]
-    roots = materialize(components(edges[0]), "minhash-roots")
-    large = shared.where("size > 2").select("band", "key", "node", "n")
-    for step in range(1, STAR_ROUNDS):
-        labelled = large.join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("label"))
-        left = materialize(labelled.join(_open_buckets(labelled), "key", "left_semi"), "minhash-open")
-        if left.isEmpty():
-            large = None
-            break
-        pick = F.min(F.struct(F.xxhash64(F.col("node"), F.lit(step)).alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("own")))
-        star = left.join(left.groupBy("key").agg(pick.alias("c")), "key").select("node", "n", "label", "c.a", "c.m", "c.own")
-        pairs = star.where((F.col("label") != F.col("own")) & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        new = materialize(_verify(_likely_pairs(pairs, nodes, percent), texts, words, percent), "minhash-edges")
-        large = left.select("band", "key", "node", "n")
-        if new.isEmpty():
-            break
-        edges.append(new)
-        roots = materialize(components(_union(edges)), "minhash-roots")
-    if large is not None:
-        labelled = large.join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("label"))
-        rest = _block_pairs(labelled.join(nodes.select("node", "sig"), "node"), percent)
-        new = materialize(_verify(rest, texts, words, percent), "minhash-edges")
-        if not new.isEmpty():
-            roots = materialize(components(_union([*edges, new])), "minhash-roots")
-    release(texts, shared, centres)
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
+    shared = materialize(bands.join(shared.where("lo < hi").select("key", "size"), "key").select("key", "node", "size"), "minhash-shared")
+    clusters = materialize(components(_likely_edges(shared, nodes, percent)), "minhash-clusters")
+
+    # only documents of clusters can be linked: the texts of the others are not read again. They may be any
+    # share of all documents, so the ids are not broadcast
+    ids = clusters.select(F.col("node").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = materialize(texts.hint("merge").join(ids, "doc_id", "left_semi"), "minhash-texts")
+    stars = clusters.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    edges = materialize(_verify_stars(stars, texts, words, percent), "minhash-edges")
+    labels = components(edges).select("node", F.col("root").alias("label"))
+    members = clusters.join(labels, "node", "left").select("node", F.col("root").alias("cluster"), F.coalesce("label", "node").alias("label"))
+    more = materialize(_verify_blocks(materialize(members, "minhash-members"), texts, words, percent), "minhash-edges")
+    roots = components(edges.unionAll(more))
+    release(shared, texts, nodes)
 
     known = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = sigs.join(known, ["h1", "h2"], "left")
@@ -284,13 +333,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
-
-
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; three words, similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
