@@ -336,3 +336,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; three words, similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id the one with the smallest text stays; rows without a doc_id stay.
+    """
+    marks = materialize(near_duplicates(docs), "minhash-marks")
+    out = docs.join(marks.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    again = marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    one = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(one.select("row.*"))
