@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftsum.llm import mixing, warc
+from driftsum.llm import licences, mixing, warc
 from driftsum.llm.bpe import op9_bpe
 from driftsum.llm.media import op7_media
 from driftsum.llm.minhash import op1_minhash
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
+    "op6_licences": licences.op6_licences,
     "op7_media": op7_media,
     "op8_vectors": op8_vectors,
     "op9_bpe": op9_bpe,
@@ -26,4 +27,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
+    "op6_licences": licences.oracle(),
 }
