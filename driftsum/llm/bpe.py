@@ -29,11 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from driftsum.llm.text import slices
 from driftsum.session import table
 
 #: The pre-tokenisation pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+CACHE = 100_000
 CACHE_PIECE = 64
 _NEVER = 1 << 62
 
@@ -72,11 +73,6 @@ class Encoder:
         for k, v in self.added.items():
             tokens[v] = k.encode()
         self.length = [len(t) for t in tokens]
-        self.text_of = {v: k for k, v in ids.items()}
-        # offset table for decoding
-        self.sizes = np.array(self.length, np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         # only tokens that their own merges rebuild take part
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
@@ -183,6 +179,21 @@ class Encoder:
                 out += [get(p) or make(p) for p in self.pieces.findall(part)]
         return np.frombuffer(b"".join(out), "<u4")
 
+
+class Decoder:
+    """One blob of all tokens and the offset and length of each."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        ids = {v: bytes(alphabet[c] for c in k) for k, v in spec["model"]["vocab"].items()}
+        ids |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        tokens = [ids.get(i, b"") for i in range(1 + max(ids))]
+        self.sizes = np.array([*map(len, tokens)], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
         if not len(sizes):
@@ -199,6 +210,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -214,7 +230,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             out = [bpe.encode(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["key", "ids"])
 
@@ -227,8 +243,8 @@ def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "do
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
+        bpe = decoder(path)
+        for b in slices(batches):
             out = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["key", "ids", "text"])
 

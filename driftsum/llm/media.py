@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftsum.llm.text import slices
 from driftsum.session import table
 
 WIDTH = 64
@@ -149,7 +150,7 @@ def encode_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """(key, n_bytes, media binary): each text as a PNG image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = [(t or "").encode() for t in b.column(1).to_pylist()]
             media = [encode_png(pad(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*map(len, raw)], pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
@@ -162,7 +163,7 @@ def read_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """The columns of encode_media() but the image, and what the stored image holds: payload length, SHA-256, CRC-32 of the last 64 bytes, the image's own length and SHA-256, the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for stored in b.column(2).to_pylist():
                 image = decode_png(stored)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsum.llm.components import components
-from driftsum.llm.text import shingle_hashes, word_hashes
+from driftsum.llm.text import shingle_hashes, slices, word_hashes
 from driftsum.session import materialize, release, table
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n, h1, h2, sig binary): size, 128-bit hash and registers of each document's set; h1 is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, h1, h2, sig = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, words)
@@ -205,7 +205,7 @@ def _verify_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets = None, []
-        for b in batches:
+        for b in slices(batches):
             found: tuple[list, list] = ([], [])
             for a, salt, role, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != (a, salt):
@@ -280,20 +280,18 @@ def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, _Minor(words, percent)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 128):
-                b = whole.slice(start, 128)
-                rows = [*zip(*(c.to_pylist() for c in b.columns), strict=True)]
-                found = []
-                for key, group in groupby(rows, key=lambda r: r[:4]):
-                    if key[:3] != at:
-                        at, part = key[:3], _Minor(words, percent)
-                    docs = [r[4:] for r in group]
-                    if key[3] == 0:
-                        part.rows += part.read(docs)
-                    elif part.rows:
-                        found += part.meet(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for b in slices(batches, 128):
+            rows = [*zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            found = []
+            for key, group in groupby(rows, key=lambda r: r[:4]):
+                if key[:3] != at:
+                    at, part = key[:3], _Minor(words, percent)
+                docs = [r[4:] for r in group]
+                if key[3] == 0:
+                    part.rows += part.read(docs)
+                elif part.rows:
+                    found += part.meet(docs)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return units.mapInArrow(run, "a long, b long")
 

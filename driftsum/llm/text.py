@@ -6,7 +6,10 @@ that is exactly what ``bytes.split()`` yields.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: The pattern of a word, for Java and RE2 alike.
@@ -58,3 +61,10 @@ def window_hashes(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
     np.cumsum(hashes * powers(base, n), out=sums[1:])
     inverse = powers(pow(base, -1, 1 << 64), n - size + 1)
     return mix((sums[size:] - sums[: n - size + 1]) * inverse)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows``: Python objects exist for a few texts at a time only."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)

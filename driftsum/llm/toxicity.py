@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftsum.llm.text import mix
+from driftsum.llm.text import mix, slices
 from driftsum.session import table
 
 BITS, ROWS, FEATURES = 20, 8_000, 32_000_000
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = F.broadcast(first(1).unionAll(first(0)))  # 2 * ROWS rows of three short columns at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [features(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["toxic", "at", "found"])
 
@@ -153,7 +153,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.dense()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(w, model.bias, b.column(1).to_pylist()))], ["doc_id", "score"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -165,7 +165,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.dense()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array(score(w, model.bias, texts) < threshold))
 
