@@ -7,8 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftsum.functions.geometry import sq_dist_to
 from driftsum.operators.coreset import proportional_summary, summarize, uniform_summary
 from driftsum.operators.kmeans import kmeans
+from driftsum.session import materialize
 
 MOST_MEDOID_POINTS, MOST_POINTS = 12, 8
 
@@ -16,7 +18,7 @@ MOST_MEDOID_POINTS, MOST_POINTS = 12, 8
 def _numbered_summary(summary: DataFrame) -> DataFrame:
     """A summary as points: ids are draw numbers, and after them the centres by cluster."""
     key = F.coalesce("draw_no", F.lit(1 << 40) + F.col("cluster_id")).cast("long")
-    return summary.select(key.alias("point_id"), "weight", "coords")
+    return materialize(summary.select(key.alias("point_id"), "weight", "coords"), "summary")
 
 
 def kmeans_full(points: DataFrame, k: int, seed: int, rounds: int) -> list[tuple[int, list[float]]]:
@@ -33,7 +35,7 @@ def kmeans_summary(points: DataFrame, k: int, draws: int, seed: int, rounds: int
 
 def kmeans_random(points: DataFrame, k: int, m: int, seed: int, rounds: int, proportional: bool = False) -> list[tuple[int, list[float]]]:
     draws = proportional_summary(points, m, seed, 1) if proportional else uniform_summary(points, m, seed)
-    return kmeans(draws.select(F.col("draw_no").alias("point_id"), "weight", "coords"), k, seed, rounds)
+    return kmeans(materialize(draws.select(F.col("draw_no").alias("point_id"), "weight", "coords"), "summary"), k, seed, rounds)
 
 
 def _few(points: DataFrame, most: int) -> list:
@@ -51,11 +53,9 @@ def exact_medoids(points: DataFrame, k: int) -> DataFrame:
     frame = points.sparkSession.range(1).select(F.explode(subsets).alias("s"))
     cost = F.lit(0.0)
     for r in rows:
-        d2 = [F.lit(float(x)) for x in r["coords"]]
-        to = lambda i, d2=d2: sum(((at[i][j] - x) * (at[i][j] - x) for j, x in enumerate(d2)), F.lit(0.0))
-        cost = cost + F.lit(float(r["weight"])) * F.array_min(F.transform("s", to))
+        cost = cost + F.lit(float(r["weight"])) * F.array_min(F.transform("s", lambda i: sq_dist_to(F.element_at(at, i + 1), r["coords"])))  # noqa: B023
     keys = F.array(*[F.lit(r["point_id"]) for r in rows])
-    out = frame.select(F.transform("s", lambda i: keys[i]).alias("centres"), cost.alias("cost"))
+    out = frame.select(F.transform("s", lambda i: F.element_at(keys, i + 1)).alias("centres"), cost.alias("cost"))
     return out.agg(F.min(F.struct("cost", "centres")).alias("b")).select("b.centres", "b.cost")
 
 

@@ -44,8 +44,8 @@ def draw(assigned: DataFrame, draws: int, seed: int, weighted: bool = True) -> D
     cost = "wd" if weighted else "d"
     rows = with_costs(assigned)
     total = rows.agg(F.sum(cost)).first()[0] or 0.0
-    out = weighted_sample(rows, F.col(cost), draws, seed, "sensitivity")
-    return out.select("draw_no", "point_id", "cluster_id", (F.lit(total) / (draws * F.col("d"))).alias("weight"), "coords")
+    out = weighted_sample(rows.where("d > 0"), F.col(cost), draws, seed, "sensitivity")
+    return out.select("draw_no", "point_id", "cluster_id", F.try_divide(F.lit(total), draws * F.col("d")).alias("weight"), "coords")
 
 
 def summarize(points: DataFrame, k: int, draws: int, seed: int, dims: int, weighted: bool = True, centres: Centres | None = None) -> DataFrame:

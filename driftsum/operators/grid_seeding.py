@@ -16,10 +16,9 @@ from driftsum.operators.sampling import pick
 TREES, LEVELS = 3, 12
 
 
-def cell(coords: Column, level: int, shift: list[float], extent: float) -> Column:
-    """The cell of a level: level 0 is one cell of 2 * extent around the shifted points."""
-    side = 2.0 * extent / (1 << level)
-    return F.concat_ws(",", *[F.floor((coords[i] + F.lit(s)) / F.lit(side)).cast("long").cast("string") for i, s in enumerate(shift)])
+def fine_cell(x: Column, shift: float, extent: float, levels: int) -> Column:
+    """The cell of a coordinate on the finest grid; level 0 is one cell of 2 * extent around the shifted points."""
+    return F.floor((x + F.lit(shift)) / F.lit(2.0 * extent / (1 << levels))).cast("long")
 
 
 def shifts(spark, trees: int, dims: int, extent: float, seed: int) -> list[list[float]]:
@@ -28,20 +27,23 @@ def shifts(spark, trees: int, dims: int, extent: float, seed: int) -> list[list[
 
 
 def tree_distance(level: Column | int, extent: float, dims: int, levels: int = LEVELS) -> Column:
-    """Twice the sum of the cell diagonals below the deepest common level."""
+    """Twice the sum of the cell diagonals below the deepest common level (-1: twice the first cell's)."""
     level = F.lit(level) if isinstance(level, int) else level
     diagonal = 2.0 * extent * dims**0.5
     return 2.0 * diagonal * (F.pow(F.lit(2.0), -level) - F.lit(2.0**-levels))
 
 
 def common_level(a: Column, b: Column, shift: list[float], extent: float, levels: int = LEVELS) -> Column:
-    """The deepest level (0 to levels) at which all levels so far agree; -1 if not even the first does."""
-    out = F.lit(-1)
-    same = F.lit(True)
-    for level in range(levels + 1):
-        same = same & (cell(a, level, shift, extent) == cell(b, level, shift, extent))
-        out = F.when(same, F.lit(level)).otherwise(out)
-    return out
+    """The deepest level (0 to levels) on which a and b share a cell; -1 if not even on the first.
+
+    Grids are nested, so a cell number's leading bits are the cells above it: the level follows from the
+    highest bit in which the finest cells differ in any dimension.
+    """
+    differ = F.lit(0).cast("long")
+    for i, s in enumerate(shift):
+        differ = differ.bitwiseOR(fine_cell(a[i], s, extent, levels).bitwiseXOR(fine_cell(b[i], s, extent, levels)))
+    bits = F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+    return F.greatest(F.lit(levels) - bits, F.lit(-1))
 
 
 def fast_seeds(points: DataFrame, k: int, dims: int, seed: int, trees: int = TREES, levels: int = LEVELS) -> list[tuple[int, list[float], int]]:
@@ -56,11 +58,9 @@ def fast_seeds(points: DataFrame, k: int, dims: int, seed: int, trees: int = TRE
     out: list[tuple[int, list[float], int]] = []
     for step in range(k):
         if out:
-            far = [
-                F.when(level >= 0, tree_distance(level, extent, dims, levels)).otherwise(tree_distance(0, extent, dims, levels) * 2)
-                for _, c, _ in out for s in moved for level in [common_level(F.col("coords"), F.array(*map(F.lit, c)), s, extent, levels)]
-            ]
-            nearest = F.least(*far) if len(far) > 1 else far[0]
+            deep = [common_level(F.col("coords"), F.array(*map(F.lit, c)), s, extent, levels) for _, c, _ in out for s in moved]
+            # distances fall with the level, so the deepest one over all trees and seeds decides
+            nearest = tree_distance(F.greatest(*deep) if len(deep) > 1 else deep[0], extent, dims, levels)
             weight = F.when(F.col("point_id").isin([key for _, _, key in out]), 0.0).otherwise(F.col("weight") * nearest * nearest)
         else:
             weight = F.col("weight")

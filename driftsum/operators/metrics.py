@@ -22,11 +22,17 @@ def label_cost(points: DataFrame, dims: int) -> DataFrame:
 
 def distortion(ton_t: float, ton_x: float, xon_x: float, xon_t: float) -> float:
     """The worst ratio between costs on the whole table (t) and on a summary (x), for the solutions of both."""
-    return max(ton_t / ton_x, ton_x / ton_t, xon_x / xon_t, xon_t / xon_x)
+    pairs = ((ton_t, ton_x), (ton_x, ton_t), (xon_x, xon_t), (xon_t, xon_x))
+    return max(_ratio(a, b) for a, b in pairs)
+
+
+def _ratio(a: float, b: float) -> float:
+    """a / b; equal costs, both 0 included, are 1 apart, and no cost is infinitely far from some."""
+    return 1.0 if a == b else a / b if b else float("inf")
 
 
 def quality(ton_t: float, xon_t: float) -> float:
-    return ton_t / xon_t
+    return _ratio(ton_t, xon_t)
 
 
 def rand_index(points: DataFrame, first: str, second: str, pairs: int, seed: int) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from driftsum.functions import geometry, rng
 from driftsum.operators import baselines, clustering, coreset, generators, grid_seeding, kmeans, metrics, replay, sampling, tree
 from driftsum.plans import sql as q
-from driftsum.session import scratch_path, table
+from driftsum.session import materialize, scratch_path, table
 from driftsum.sources import oplog
-from driftsum.sources.points import ops_events, pts_emb, pts_line, pts_orders, spread
+from driftsum.sources.points import ops_events, pts_emb, pts_line, pts_nation, pts_orders, pts_region, spread
 from driftsum.streaming import maintain
 
 SEED, K, DRAWS, ROUNDS = 7, 4, 200, 3
@@ -44,6 +44,7 @@ ORDERS = q.points("pts_orders")
 ASSIGNED = q.with_(ORDERS, q.first_centres(), q.assigned())
 COSTED = q.with_(ORDERS, q.first_centres(), q.assigned(), "costed AS (SELECT *, sqrt(d2) AS d, weight * sqrt(d2) AS wd FROM assigned)")
 EVENTS = q.points("ops_events")
+NATIONS = q.points("pts_nation")
 
 
 # sources
@@ -92,14 +93,14 @@ WINDOW, P = 500, 0.6
 @query(
     q.with_(
         "pts AS (SELECT o_orderkey AS point_id FROM orders)",
-        "src AS (SELECT point_id, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS at FROM pts)",
+        "src AS (SELECT point_id, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS place FROM pts)",
         "n AS (SELECT count(*) AS n, least(501, count(*)) AS first FROM pts)",
         f"coins AS (SELECT t, ins, sum(ins) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS up, sum(1 - ins) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS down FROM (SELECT t, CASE WHEN {q.u(SEED, 'coin', 't')} < 0.6 THEN 1 ELSE 0 END AS ins FROM (SELECT unnest(range(2 * n + 2)) AS t FROM n)))",
         "stop_ AS (SELECT min(t) AS t FROM coins, n WHERE up + first > n OR up + first - down <= 0)",
-        "moves AS (SELECT first + c.t AS seq, CASE WHEN ins = 1 THEN first + up - 1 ELSE down - 1 END AS at, ins AS op FROM coins c, n, stop_ s WHERE s.t IS NULL OR c.t < s.t OR (c.t = s.t AND up + first - down <= 0))",
-        "log AS (SELECT range AS seq, range AS at, 1 AS op FROM (SELECT unnest(range(first)) AS range FROM n) UNION ALL SELECT seq, at, op FROM moves)",
+        "moves AS (SELECT first + c.t AS seq, CASE WHEN ins = 1 THEN first + up - 1 ELSE down - 1 END AS place, ins AS op FROM coins c, n, stop_ s WHERE s.t IS NULL OR c.t < s.t OR (c.t = s.t AND up + first - down <= 0))",
+        "log AS (SELECT i AS seq, i AS place, 1 AS op FROM (SELECT unnest(range(first)) AS i FROM n) UNION ALL SELECT seq, place, op FROM moves)",
     )
-    + "SELECT seq::BIGINT AS seq, point_id, op::INTEGER AS op FROM log JOIN src USING (at)"
+    + "SELECT seq::BIGINT AS seq, point_id, op::INTEGER AS op FROM log JOIN src USING (place)"
 )
 def win_sliding(spark, sf_dir):
     return generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED).select("seq", "point_id", F.col("op").cast("int").alias("op"))
@@ -186,7 +187,8 @@ def lazy_delete(spark, sf_dir):
     """Points and tombstones after deletes that miss the summary, and after deletes that hit it."""
     points = pts_orders(spark, sf_dir)
     summary = coreset.uniform_summary(points, 20, SEED).select("point_id")
-    miss = points.select("point_id").where("point_id % 97 = 0").join(summary, "point_id", "left_anti")
+    old = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1996-01-01'").select(F.col("o_orderkey").alias("point_id"))
+    miss = old.join(summary, "point_id", "left_anti")
     out = []
     for name, ids in (("miss", miss), ("hit", summary)):
         kept, noted = replay.lazy_delete(points, ids, summary)
@@ -224,10 +226,10 @@ def sq_norm(spark, sf_dir):
     return pts_emb(spark, sf_dir).select("point_id", F.round(geometry.sq_norm(F.col("coords")), 6).alias("n2"))
 
 
-@query(q.with_(ORDERS, "few AS (SELECT * FROM pts_orders ORDER BY point_id LIMIT 40)") + f"SELECT a.point_id AS a, b.point_id AS b, round({q.d2('a', 'b')}, 6) AS d2 FROM few a JOIN few b ON a.point_id < b.point_id")
+@query(q.with_(NATIONS) + f"SELECT a.point_id AS a, b.point_id AS b, round({q.d2('a', 'b')}, 6) AS d2 FROM pts_nation a JOIN pts_nation b ON a.point_id < b.point_id")
 def pairwise_sq(spark, sf_dir):
-    """All pairs of a top-k of 40 points: for enumeration on tiny inputs only."""
-    few = pts_orders(spark, sf_dir).orderBy("point_id").limit(40)
+    """All pairs of the nations, a table of fixed size: for enumeration on tiny inputs only."""
+    few = pts_nation(spark, sf_dir)
     side = lambda x: few.select(F.col("point_id").alias(x), F.col("coords").alias(f"coords_{x}"))
     return side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b")).select("a", "b", F.round(geometry.sq_dist(F.col("coords_a"), F.col("coords_b")), 6).alias("d2"))
 
@@ -272,8 +274,8 @@ def uniform_sample(spark, sf_dir):
 
 
 @query(
-    q.with_(ORDERS, f"r AS (SELECT *, sum(weight) OVER ({q.ORDER}) AS hi, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS at FROM pts_orders)")
-    + f"SELECT slot::BIGINT AS slot, arg_max(point_id, at) AS point FROM (SELECT *, CASE WHEN at < 50 THEN at WHEN {q.u(SEED, 'accept', 'point_id')} < 50 * weight / hi THEN floor({q.u(SEED, 'slot', 'point_id')} * 50) END AS slot FROM r) WHERE slot IS NOT NULL GROUP BY slot"
+    q.with_(ORDERS, f"r AS (SELECT *, sum(weight) OVER ({q.ORDER}) AS hi, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS place FROM pts_orders)")
+    + f"SELECT slot::BIGINT AS slot, arg_max(point_id, place) AS point FROM (SELECT *, CASE WHEN place < 50 THEN place WHEN {q.u(SEED, 'accept', 'point_id')} < 50 * weight / hi THEN floor({q.u(SEED, 'slot', 'point_id')} * 50) END AS slot FROM r) WHERE slot IS NOT NULL GROUP BY slot"
 )
 def reservoir(spark, sf_dir):
     return sampling.reservoir(pts_orders(spark, sf_dir), F.col("weight"), 50, SEED).select(F.col("slot").cast("long").alias("slot"), "point")
@@ -383,11 +385,13 @@ def lloyd_3(spark, sf_dir):
 _KMEANS = q.with_(ORDERS, *q.seeds(K, SEED), q.by_id(), *q.lloyd(ROUNDS)) + _CENTRES + f"lloyd_{ROUNDS}"
 
 
-@query(_KMEANS)
-def kmeans_run(spark, sf_dir):
+def _kmeans(spark, sf_dir):
     return _shown(spark, kmeans.kmeans(pts_orders(spark, sf_dir), K, SEED, ROUNDS, 0.0))
 
 
+QUERIES["kmeans"], SQL["kmeans"] = _kmeans, _KMEANS
+
+
 @query()
 def fast_seed(spark, sf_dir):
     centres = grid_seeding.fast_seeds(pts_orders(spark, sf_dir), K, 2, SEED)
@@ -485,14 +489,14 @@ def tree_coreset(spark, sf_dir):
 @query()
 def tree_delete(spark, sf_dir):
     levels, shape = _tree(spark, sf_dir)
-    gone = table(spark, sf_dir, "orders").where("o_orderkey % 256 < 16").select(F.col("o_orderkey").alias("point_id"))
+    gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1996-01-01'").select(F.col("o_orderkey").alias("point_id"))
     return tree.shape_of(tree.delete(levels, gone, shape))
 
 
 @query()
 def tree_rebalance(spark, sf_dir):
     levels, shape = _tree(spark, sf_dir)
-    gone = table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("point_id"))
+    gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1999-01-01'").select(F.col("o_orderkey").alias("point_id"))
     kept = levels[0].join(gone, "point_id", "left_anti").select(*levels[0].columns)
     return tree.shape_of(tree.rebalance([kept], shape))
 
@@ -508,7 +512,7 @@ def flat_tree_build(spark, sf_dir):
 def flat_tree_delete(spark, sf_dir):
     points = pts_orders(spark, sf_dir)
     shape = tree.flat_shape(points.count(), 3, 10, size=100, cutoff=100)
-    gone = table(spark, sf_dir, "orders").where("o_orderkey % 256 < 16").select(F.col("o_orderkey").alias("point_id"))
+    gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1996-01-01'").select(F.col("o_orderkey").alias("point_id"))
     return tree.shape_of(tree.delete(tree.build(points, shape), gone, shape))
 
 
@@ -593,14 +597,13 @@ def _solution_costs(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     points = pts_orders(spark, sf_dir)
     rows = coreset.summarize(points, K, DRAWS, SEED, 2)
     key = F.coalesce("draw_no", F.lit(1 << 40) + F.col("cluster_id")).cast("long")
-    sets = {"x": rows.select(key.alias("point_id"), "weight", "coords").cache(), "t": points}
+    sets = {"x": materialize(rows.select(key.alias("point_id"), "weight", "coords"), "summary"), "t": points}
     out = {}
     for c, data in sets.items():
         centres = kmeans.kmeans(data, K, SEED, ROUNDS, 0.0)
         for t, on in sets.items():
             cost, weight = kmeans.sq_cost(on, centres)
             out[c + t] = cost / weight
-    sets["x"].unpersist()
     return out
 
 
@@ -635,26 +638,25 @@ def kmeans_random(spark, sf_dir):
     return _shown(spark, baselines.kmeans_random(pts_orders(spark, sf_dir), K, DRAWS, SEED, ROUNDS))
 
 
-_FEW = "few AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS i FROM (SELECT * FROM pts_orders ORDER BY point_id LIMIT {}))"
+_REGIONS = (NATIONS, q.points("pts_region"), "few AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS i FROM pts_region)")
 
 
 @query(
-    q.with_(ORDERS, _FEW.format(10), "s AS (SELECT a.point_id AS a, b.point_id AS b, sum(p.weight * least(" + q.d2("p", "a") + ", " + q.d2("p", "b") + ")) AS cost FROM few a JOIN few b ON a.i < b.i CROSS JOIN few p GROUP BY a.point_id, b.point_id)")
+    q.with_(*_REGIONS, "s AS (SELECT a.point_id AS a, b.point_id AS b, sum(p.weight * least(" + q.d2("p", "a") + ", " + q.d2("p", "b") + ")) AS cost FROM few a JOIN few b ON a.i < b.i CROSS JOIN few p GROUP BY a.point_id, b.point_id)")
     + "SELECT a, b, round(cost, 4) AS cost FROM s ORDER BY s.cost, a, b LIMIT 1"
 )
 def exact_medoids(spark, sf_dir):
-    points = pts_orders(spark, sf_dir).orderBy("point_id").limit(10)
-    return baselines.exact_medoids(points, 2).select(F.col("centres")[0].alias("a"), F.col("centres")[1].alias("b"), Q("cost").alias("cost"))
+    return baselines.exact_medoids(pts_region(spark, sf_dir), 2).select(F.col("centres")[0].alias("a"), F.col("centres")[1].alias("b"), Q("cost").alias("cost"))
 
 
 @query(
-    q.with_(ORDERS, _FEW.format(7), "g AS (SELECT range AS labelling FROM range(128))",
+    q.with_(*_REGIONS, "n AS (SELECT count(*) AS n FROM few)", "g AS (SELECT unnest(range((2 ** n)::BIGINT)) AS labelling FROM n)",
             "c AS (SELECT labelling, (labelling >> i::INTEGER) % 2 AS c, sum(weight * (x0 * x0 + x1 * x1)) - (sum(weight * x0) * sum(weight * x0) + sum(weight * x1) * sum(weight * x1)) / sum(weight) AS cost FROM g, few GROUP BY 1, 2)",
             "t AS (SELECT labelling, round(sum(cost), 4) AS cost FROM c GROUP BY labelling)")
     + "SELECT labelling, cost FROM t ORDER BY cost, labelling LIMIT 1"
 )
 def exact_kmeans(spark, sf_dir):
-    return baselines.exact_kmeans(pts_orders(spark, sf_dir).orderBy("point_id").limit(7), 2)
+    return baselines.exact_kmeans(pts_region(spark, sf_dir), 2)
 
 
 @query()

@@ -38,6 +38,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches for Python tasks hold 8 MB instead of Spark's 64 MB; another setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path early; a path that is already gone is no error."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -16,6 +16,9 @@ SQL = {
     "pts_line": """pts_line AS (SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT)), 1, 15))::BIGINT AS point_id,
       1.0::DOUBLE AS weight, l_quantity::DOUBLE AS x0, round(l_discount * 100)::DOUBLE AS x1, round(l_tax * 100)::DOUBLE AS x2 FROM lineitem)""",
     "pts_emb": "pts_emb AS (SELECT vec_id AS point_id, 1.0::DOUBLE AS weight, embedding::DOUBLE[] AS coords, label FROM embeddings)",
+    "pts_nation": """pts_nation AS (SELECT n_nationkey::BIGINT AS point_id, 1.0::DOUBLE AS weight, coalesce(c, 0)::DOUBLE AS x0, coalesce(s, 0)::DOUBLE AS x1 FROM nation
+      LEFT JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY 1) USING (n_nationkey) LEFT JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS s FROM supplier GROUP BY 1) USING (n_nationkey))""",
+    "pts_region": "pts_region AS (SELECT n_regionkey::BIGINT AS point_id, count(*)::DOUBLE AS weight, sum(x0) AS x0, sum(x1) AS x1 FROM pts_nation JOIN nation ON n_nationkey = point_id GROUP BY n_regionkey)",
     "ops_events": "ops_events AS (SELECT event_id AS seq, user_id AS point_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS op, 1.0::DOUBLE AS weight, value AS x0, hour(ts) + minute(ts) / 60.0::DOUBLE AS x1 FROM events)",
 }
 
@@ -41,6 +44,20 @@ def pts_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.lit(1.0).alias("weight"), F.col("embedding").cast("array<double>").alias("coords"), "label")
 
 
+def pts_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of customers and suppliers of each nation: 25 points at any scale."""
+    counts = lambda name, key: table(spark, sf_dir, name).groupBy(F.col(key).alias("n_nationkey")).agg(F.count(F.lit(1)).cast("double").alias(name))
+    rows = table(spark, sf_dir, "nation").join(counts("customer", "c_nationkey"), "n_nationkey", "left").join(counts("supplier", "s_nationkey"), "n_nationkey", "left")
+    coords = F.array(F.coalesce("customer", F.lit(0.0)), F.coalesce("supplier", F.lit(0.0)))
+    return rows.select(F.col("n_nationkey").cast("long").alias("point_id"), F.lit(1.0).alias("weight"), coords.alias("coords"), F.col("n_regionkey").cast("long").alias("region"))
+
+
+def pts_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each region: 5 points, weighing their nations."""
+    rows = pts_nation(spark, sf_dir).groupBy(F.col("region").alias("point_id")).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.sum(F.col("coords")[0]).alias("a"), F.sum(F.col("coords")[1]).alias("b"))
+    return rows.select("point_id", "weight", F.array("a", "b").alias("coords"))
+
+
 def ops_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dirty log: users repeat inserts, and errors delete users that may not be there."""
     coords = F.array(F.col("value"), F.hour("ts") + F.minute("ts") / F.lit(60.0))
