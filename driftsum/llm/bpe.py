@@ -30,11 +30,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from driftsum.llm.text import slices
-from driftsum.session import table
+from driftsum.session import small_batches, table
 
 #: The pre-tokenisation pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 100_000
+CACHE = 200_000
 CACHE_PIECE = 64
 _NEVER = 1 << 62
 
@@ -234,6 +234,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
             out = [bpe.encode(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["key", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary").withColumnRenamed("key", key)
 
@@ -248,6 +249,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "do
             out = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["key", "ids", "text"])
 
+    small_batches(encoded.sparkSession)
     rows = encoded.select(encoded[key].alias("key"), encoded["ids"])
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary, text string").withColumnRenamed("key", key)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsum.llm.text import slices
-from driftsum.session import table
+from driftsum.session import small_batches, table
 
 WIDTH = 64
 CHUNK = 1 << 16
@@ -155,6 +155,7 @@ def encode_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             media = [encode_png(pad(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*map(len, raw)], pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("key", key)
 
@@ -173,6 +174,7 @@ def read_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
             cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
+    small_batches(media.sparkSession)
     rows = media.select(media[key].alias("key"), "n_bytes", "media")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from driftsum.llm.components import components
 from driftsum.llm.text import shingle_hashes, slices, word_hashes
-from driftsum.session import materialize, release, table
+from driftsum.session import materialize, release, small_batches, table
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
@@ -302,6 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets; component_id is
     the smallest doc_id reachable over links; a document is kept if it is its own.
     """
+    small_batches(docs.sparkSession)
     sigs = materialize(signatures(docs, words), "minhash-signatures")
     sets = sigs.where("h1 is not null and doc_id is not null")
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))

@@ -6,7 +6,9 @@ that is exactly what ``bytes.split()`` yields.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +65,16 @@ def window_hashes(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
     return mix((sums[size:] - sums[: n - size + 1]) * inverse)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for the next stage with all they have kept."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches cut to ``rows``: Python objects exist for a few texts at a time only."""
     for b in batches:
         for start in range(0, b.num_rows, rows):
             yield b.slice(start, rows)
+    give_back()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsum.llm.text import mix, slices
-from driftsum.session import table
+from driftsum.session import small_batches, table
 
 BITS, ROWS, FEATURES = 20, 8_000, 32_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.0, 10
@@ -122,6 +122,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """One small task learns; what it returns to the driver is the sparse model."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = known.select("doc_id", "toxic", F.md5(F.col("doc_id").cast("string")).alias("at"))
@@ -156,6 +157,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(w, model.bias, b.column(1).to_pylist()))], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftsum.session import materialize, table
+from driftsum.session import materialize, small_batches, table
 
 #: Fixed values of the formats.
 SEEK_MAGIC, SEEK_FOOTER, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -195,6 +195,7 @@ def write_bundles(marked: DataFrame) -> DataFrame:
         if w.index:
             yield bundle()
 
+    small_batches(marked.sparkSession)
     return marked.mapInArrow(run, "bundle string, n_records long, data binary")
 
 
