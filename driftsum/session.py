@@ -14,6 +14,7 @@ from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_FILE = 250_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -51,11 +52,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage durably."""
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage durably.
+
+    ``rows``, a bound of its rows if one is known, decides the number of files, so that a small result does
+    not become a file for each task; its rows are then dealt out evenly after they are computed.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.repartition(1 + rows // ROWS_PER_FILE)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._driftsum_path = path  # for release()
     return out
