@@ -21,13 +21,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
 
-    Edges from a node to itself and edges with nulls are ignored; repeated edges count once.
+    Edges from a node to itself and edges with nulls are ignored; repeated edges count once. ``rows`` is a
+    bound of the number of edges, if one is known.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "components")
+    e = materialize(e, "components", rows)
     state = _state(e)
     for _ in range(ROUNDS if state[0] else 0):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        new = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components", state[0])
         release(e)
         e, before, state = new, state, _state(new)
         if state == before:

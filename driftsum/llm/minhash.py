@@ -304,14 +304,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     small_batches(docs.sparkSession)
     sigs = materialize(signatures(docs, words), "minhash-signatures")
+    total = sigs.count()  # from the files' footers
     sets = sigs.where("h1 is not null and doc_id is not null")
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes")
+    nodes = materialize(sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes", total)
 
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
-    shared = materialize(bands.join(shared.where("lo < hi").select("key", "size"), "key").select("key", "node", "size"), "minhash-shared")
-    clusters = materialize(components(_likely_edges(shared, nodes, percent)), "minhash-clusters")
+    shared = materialize(bands.join(shared.where("lo < hi").select("key", "size"), "key").select("key", "node", "size"), "minhash-shared", BANDS * total)
+    clusters = materialize(components(_likely_edges(shared, nodes, percent), total), "minhash-clusters", total)
 
     # only documents of clusters can be linked: the texts of the others are not read again. They may be any
     # share of all documents, so the ids are not broadcast
@@ -319,16 +320,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.hint("merge").join(ids, "doc_id", "left_semi"), "minhash-texts")
     stars = clusters.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    edges = materialize(_verify_stars(stars, texts, words, percent), "minhash-edges")
-    labels = components(edges).select("node", F.col("root").alias("label"))
+    edges = materialize(_verify_stars(stars, texts, words, percent), "minhash-edges", total)
+    labels = components(edges, total).select("node", F.col("root").alias("label"))
     members = clusters.join(labels, "node", "left").select("node", F.col("root").alias("cluster"), F.coalesce("label", "node").alias("label"))
-    more = materialize(_verify_blocks(materialize(members, "minhash-members"), texts, words, percent), "minhash-edges")
-    roots = components(edges.unionAll(more))
+    more = materialize(_verify_blocks(materialize(members, "minhash-members", total), texts, words, percent), "minhash-edges", total)
+    roots = components(edges.unionAll(more), 2 * total)
     release(shared, texts, nodes)
 
     known = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = sigs.join(known, ["h1", "h2"], "left")
-    component = F.coalesce("root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -15,8 +15,7 @@ however many vectors an interval holds.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components link
 with nothing; so do vectors of different lengths; rows that repeat a vec_id are vectors of their own
-that share a component; a null vec_id counts as a link of others, but has no component of its own; an empty
-table gives an empty one; other columns are ignored.
+with links of their own that share one component; a row with a null vec_id links with nothing and has no component; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from driftsum.session import materialize, table
 
 COSINE = 0.95
 BLOCK_DIMS = 16
-UNIT = 8192
+UNIT = 16384
 SEED = 20
 #: Room for rounding: rotated coordinates are kept as 32-bit floats.
 SLACK = 1e-4
@@ -80,11 +79,11 @@ def read_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 
 def _visits(nodes: DataFrame, cosine: float, with_vectors: bool) -> DataFrame:
-    """(dim, block, cell, halo, node, weight[, vec]): the intervals that each vector visits."""
+    """(dim, block, cell, halo, node, h1, weight[, vec]): the intervals that each vector visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(2).to_pylist()
+            raw = b.column(3).to_pylist()
             dims = np.array([len(x) // 8 for x in raw])
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
@@ -96,12 +95,12 @@ def _visits(nodes: DataFrame, cosine: float, with_vectors: bool) -> DataFrame:
                     near = np.flatnonzero(x - cell * (2 * reach) <= reach)
                     rows = np.concatenate([at, at[near]])
                     cols = [np.full(len(rows), dim, np.int32), np.full(len(rows), k, np.int32), np.concatenate([cell, cell[near] - 1]), np.arange(len(rows)) >= len(at)]
-                    names = ["dim", "block", "cell", "halo", "node", "weight"] + ["vec"] * with_vectors
-                    take = [b.column(i).take(pa.array(rows)) for i in range(3 if with_vectors else 2)]
+                    names = ["dim", "block", "cell", "halo", "node", "h1", "weight"] + ["vec"] * with_vectors
+                    take = [b.column(i).take(pa.array(rows)) for i in range(4 if with_vectors else 3)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *take], names)
 
-    schema = "dim int, block int, cell int, halo boolean, node long, weight long" + ", vec binary" * with_vectors
-    return nodes.select("node", "weight", "vec").mapInArrow(run, schema)
+    schema = "dim int, block int, cell int, halo boolean, node long, h1 long, weight long" + ", vec binary" * with_vectors
+    return nodes.select("node", "h1", "weight", "vec").mapInArrow(run, schema)
 
 
 def _join_unit(x: np.ndarray, side: np.ndarray, halo: np.ndarray, weight: np.ndarray, k: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +152,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors are linked if their cosine, in double precision, is at least ``cosine``.
     """
     rows = materialize(read_vectors(vectors), "vectors-rows")
-    classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
-    nodes = materialize(classes, "vectors-nodes")
-    known = nodes.where("node is not null")
-    full = _visits(known, cosine, False).groupBy("dim", "block", "cell").count().where(F.col("count") > UNIT)
+    total = rows.count()  # from the files' footers
+    classes = rows.where("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
+    nodes = materialize(classes, "vectors-nodes", total)
+    full = _visits(nodes, cosine, False).groupBy("dim", "block", "cell").count().where(F.col("count") > UNIT)
     full = full.select("dim", "block", "cell", F.ceil(F.col("count") / UNIT).alias("cuts"))
-    visits = _visits(known, cosine, True).join(full, ["dim", "block", "cell"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    visits = _visits(nodes, cosine, True).join(full, ["dim", "block", "cell"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     visits = visits.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")))
     visits = visits.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    units = visits.select("dim", "block", "cell", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).alias("side"), "halo", "node", "weight", "vec")
+    units = visits.select("dim", "block", "cell", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).alias("side"), "halo", "node", "h1", "weight", "vec")
 
     def run(unit: pa.Table) -> pa.Table:
         node = unit.column("node").to_numpy()
@@ -172,17 +171,18 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         get = lambda name: unit.column(name).to_numpy()[order]
         links, root = _join_unit(x, get("side").astype(np.int8), get("halo").astype(bool), get("weight"), unit.column("block")[0].as_py(), cosine)
         node, at = node[order], np.flatnonzero(links)
-        return pa.table({"node": node[at], "links": links[at], "root": node[root[at]]})
+        return pa.table({"node": node[at], "h1": get("h1")[at], "links": links[at], "root": node[root[at]]})
 
-    found = units.groupBy("dim", "block", "cell", "i", "j").applyInArrow(run, "node long, links long, root long")
+    found = units.groupBy("dim", "block", "cell", "i", "j").applyInArrow(run, "node long, h1 long, links long, root long")
     found = materialize(found, "vectors-links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    counts = found.groupBy("node", "h1").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    classes = nodes.join(counts, "node", "left").join(roots, "node", "left")
+    classes = nodes.join(counts, ["node", "h1"], "left").join(roots, "node", "left")
     classes = classes.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     out = rows.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
+    links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
