@@ -1,7 +1,7 @@
 """Weighted and uniform sampling with reproducible draws.
 
 Points are ordered by (bucket, point_id) with bucket = point_id mod BUCKETS, so prefix sums are
-windows inside buckets plus offsets over BUCKETS totals: no step sorts the whole table in one task.
+windows inside buckets plus offsets over BUCKETS totals: no step sorts the whole table in one task; the totals are 65,536 rows at most.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftsum.functions import rng
 
-BUCKETS = 256
+BUCKETS = 1 << 16
 
 
 def bucket(key: Column) -> Column:

@@ -93,7 +93,7 @@ WINDOW, P = 500, 0.6
 @query(
     q.with_(
         "pts AS (SELECT o_orderkey AS point_id FROM orders)",
-        "src AS (SELECT point_id, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS place FROM pts)",
+        "src AS (SELECT point_id, row_number() OVER (ORDER BY point_id % 65536, point_id) - 1 AS place FROM pts)",
         "n AS (SELECT count(*) AS n, least(501, count(*)) AS first FROM pts)",
         f"coins AS (SELECT t, ins, sum(ins) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS up, sum(1 - ins) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS down FROM (SELECT t, CASE WHEN {q.u(SEED, 'coin', 't')} < 0.6 THEN 1 ELSE 0 END AS ins FROM (SELECT unnest(range(2 * n + 2)) AS t FROM n)))",
         "stop_ AS (SELECT min(t) AS t FROM coins, n WHERE up + first > n OR up + first - down <= 0)",
@@ -274,7 +274,7 @@ def uniform_sample(spark, sf_dir):
 
 
 @query(
-    q.with_(ORDERS, f"r AS (SELECT *, sum(weight) OVER ({q.ORDER}) AS hi, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS place FROM pts_orders)")
+    q.with_(ORDERS, f"r AS (SELECT *, sum(weight) OVER ({q.ORDER}) AS hi, row_number() OVER (ORDER BY point_id % 65536, point_id) - 1 AS place FROM pts_orders)")
     + f"SELECT slot::BIGINT AS slot, arg_max(point_id, place) AS point FROM (SELECT *, CASE WHEN place < 50 THEN place WHEN {q.u(SEED, 'accept', 'point_id')} < 50 * weight / hi THEN floor({q.u(SEED, 'slot', 'point_id')} * 50) END AS slot FROM r) WHERE slot IS NOT NULL GROUP BY slot"
 )
 def reservoir(spark, sf_dir):
@@ -461,7 +461,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], tree.Shape
     return tree.build(pts_orders(spark, sf_dir), shape), shape
 
 
-@query(q.with_(ORDERS, "l AS (SELECT (row_number() OVER (ORDER BY point_id % 256, point_id) - 1) // 200 AS node_id, floor(weight * 1000)::BIGINT AS w FROM pts_orders)") + "SELECT node_id::BIGINT AS node_id, count(*) AS n, sum(w)::BIGINT AS w_milli FROM l GROUP BY node_id")
+@query(q.with_(ORDERS, "l AS (SELECT (row_number() OVER (ORDER BY point_id % 65536, point_id) - 1) // 200 AS node_id, floor(weight * 1000)::BIGINT AS w FROM pts_orders)") + "SELECT node_id::BIGINT AS node_id, count(*) AS n, sum(w)::BIGINT AS w_milli FROM l GROUP BY node_id")
 def tree_build(spark, sf_dir):
     """Sizes and weights of the leaves of a new tree."""
     rows = tree.leaves(pts_orders(spark, sf_dir), tree.Shape(leaf=200))
@@ -553,7 +553,7 @@ PAIRS = 10_000
 
 
 def _rand_sql(rows: str) -> str:
-    return f"""n AS (SELECT *, row_number() OVER (ORDER BY point_id % 256, point_id) - 1 AS at FROM {rows}),
+    return f"""n AS (SELECT *, row_number() OVER (ORDER BY point_id % 65536, point_id) - 1 AS at FROM {rows}),
 pairs AS (SELECT floor({q.u(SEED, 'left', 'range')} * c)::BIGINT AS a, floor({q.u(SEED, 'right', 'range')} * c)::BIGINT AS b FROM range({PAIRS}), (SELECT count(*) AS c FROM n))
 SELECT round(coalesce(sum(CASE WHEN (x.p = y.p) = (x.q = y.q) THEN x.weight + y.weight ELSE 0 END) / sum(x.weight + y.weight), 0), 6) AS rand_index FROM pairs JOIN n x ON x.at = a JOIN n y ON y.at = b"""
 

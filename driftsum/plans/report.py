@@ -29,7 +29,7 @@ def experiment(ops: DataFrame, dims: int, k: int, draws: int, seed: int, every:
     ops = materialize(ops, "report-ops")
     last = ops.agg(F.max("seq")).first()[0] or 0
     rows = []
-    for at in [i for i in range(0, last + 1, every)][-checkpoints:]:
+    for at in range(max(0, last // every - checkpoints + 1) * every, last + 1, every):
         live = materialize(live_set(ops, at).select("point_id", "weight", "coords"), "report-live")
         full, t_t = _timed(lambda: kmeans.kmeans(live, k, seed, rounds))
         values = {"op": at, "t_t": t_t}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from driftsum.sources.points import SQL as POINTS
 
-ORDER = "ORDER BY point_id % 256, point_id ROWS UNBOUNDED PRECEDING"
+ORDER = "ORDER BY point_id % 65536, point_id ROWS UNBOUNDED PRECEDING"
 
 
 def u(seed: int, tag: str, key: str) -> str:
@@ -42,7 +42,7 @@ def seeds(k: int, seed: int, points: str = "pts_orders", dims: int = 2, name: st
         w = w if len(near) != 1 else f"p.weight * ({near[0]})"
         tables = "".join(f", {name}_{j}" for j in range(i))
         out.append(f"""{name}_{i} AS MATERIALIZED (SELECT point_id, {xs(dims)} FROM (SELECT *, sum(w) OVER ({ORDER}) AS hi, sum(w) OVER () AS everything
-      FROM (SELECT p.point_id, {xs(dims, 'p.')}, {w} AS w FROM {points} p{tables})) WHERE w > 0 AND hi > everything * {u(seed, 'seed', str(i))} ORDER BY point_id % 256, point_id LIMIT 1)""")
+      FROM (SELECT p.point_id, {xs(dims, 'p.')}, {w} AS w FROM {points} p{tables})) WHERE w > 0 AND hi > everything * {u(seed, 'seed', str(i))} ORDER BY point_id % 65536, point_id LIMIT 1)""")
     union = " UNION ALL ".join(f"SELECT {i} AS step, * FROM {name}_{i}" for i in range(k))
     return [*out, f"{name} AS ({union})"]
 

@@ -6,7 +6,7 @@ semicolons. Lines that start with # are comments. Order is file order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\t ,;]+"
@@ -31,15 +31,23 @@ def parse_ops(lines: DataFrame, dims: int, n: int | None = None) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line) of a text file or folder.
+    """(seq, line) of a text file or folder without comments and empty lines, numbered from 0 in file order.
 
-    seq rises in file order: bits of the partition, which Spark forms by path and offset, then of the row.
+    Spark forms partitions by path and offset; the rows of each are counted, and the counts before a
+    partition (one number for each) are added to the places inside it.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-
-
-def read_ops(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    return parse_ops(read_lines(spark, path), dims)
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    rows = rows.withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND((1 << 33) - 1)})
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(counts, "part").select((F.col("before") + F.col("at")).alias("seq"), "line")
+
+
+def read_ops(spark: SparkSession, path: str, dims: int, n: int | None = None) -> DataFrame:
+    """The log of a text file, or its first ``n`` operations."""
+    return parse_ops(read_lines(spark, path), dims, n)
 
 
 def parse_labels(lines: DataFrame, columns: int = 1) -> DataFrame:
