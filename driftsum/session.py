@@ -8,18 +8,36 @@ machine) a folder of our own is used.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from contextlib import suppress
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_FILE = 250_000
+_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it: by PYTHONPATH, or in the working folder."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if any(p and Path(p).resolve() == root for p in places) or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="driftsum-package-")  # the driver serves the file from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/driftsum-package", "zip", root, Path(__file__).resolve().parent.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir`` (any path Spark can open)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +59,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Let Arrow batches for Python tasks hold 8 MB instead of Spark's 64 MB; another setting of the session stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, size)
@@ -59,6 +78,7 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     not become a file for each task; its rows are then dealt out evenly after they are computed.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, label)
     (df if rows is None else df.repartition(1 + rows // ROWS_PER_FILE)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
