@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     total = sigs.count()  # from the files' footers
     sets = sigs.where("h1 is not null and doc_id is not null")
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes", total)
+    nodes = materialize(sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes", 8 * total)  # wide rows
 
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))

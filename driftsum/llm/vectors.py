@@ -109,16 +109,17 @@ def _join_unit(x: np.ndarray, side: np.ndarray, halo: np.ndarray, weight: np.nda
     cuts = blocks(dim, cosine)
     lo, hi, budget = cuts[k]
     r, norms = rotated(x), np.linalg.norm(x, axis=1)
-    part = np.ascontiguousarray(r[:, lo:hi])
-    squares = (part * part).sum(axis=1)
+    part = r[:, lo:hi]
+    squares, one = (part * part).sum(axis=1, keepdims=True), np.ones((n, 1), np.float32)
+    # squared distances as one matrix product: |x|^2 * 1 + 1 * |y|^2 - 2 xy
+    first, second = np.hstack([part, squares, one]), np.hstack([-2 * part, one, squares]).T
     links, root = np.zeros(n, np.int64), np.arange(n)
     one_set = not side.any()
     left, right = (np.arange(n),) * 2 if one_set else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for start in range(0, len(left), _CHUNK):
         rows = left[start : start + _CHUNK]
         columns = right[start:] if one_set else right
-        d = squares[rows, None] + squares[columns] - 2 * (part[rows] @ part[columns].T)
-        p, q = np.nonzero(d <= budget + 1e-5)
+        p, q = np.divmod(np.flatnonzero(first[rows] @ second[:, columns] <= budget + 1e-5), len(columns))
         p, q = rows[p], columns[q]
         keep = ~(halo[p] & halo[q])
         if one_set:
@@ -128,10 +129,10 @@ def _join_unit(x: np.ndarray, side: np.ndarray, halo: np.ndarray, weight: np.nda
             a, b = p[i : i + _PAIRS], q[i : i + _PAIRS]
             diff = (r[a].astype(np.float64) - r[b]) ** 2
             found = [diff[:, u:v].sum(axis=1) <= limit for u, v, limit in cuts[: k + 1]]
-            first = found[k]
+            here = found[k]
             for earlier in found[:k]:
-                first = first & ~earlier
-            a, b = a[first], b[first]
+                here = here & ~earlier
+            a, b = a[here], b[here]
             linked = np.einsum("ij,ij->i", x[a], x[b]) / (norms[a] * norms[b]) >= cosine
             a, b = a[linked], b[linked]
             links += np.bincount(a, weight[b], n).astype(np.int64) + np.bincount(b, weight[a], n).astype(np.int64)
@@ -152,9 +153,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors are linked if their cosine, in double precision, is at least ``cosine``.
     """
     rows = materialize(read_vectors(vectors), "vectors-rows")
-    total = rows.count()  # from the files' footers
     classes = rows.where("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
-    nodes = materialize(classes, "vectors-nodes", total)
+    nodes = materialize(classes, "vectors-nodes")
     full = _visits(nodes, cosine, False).groupBy("dim", "block", "cell").count().where(F.col("count") > UNIT)
     full = full.select("dim", "block", "cell", F.ceil(F.col("count") / UNIT).alias("cuts"))
     visits = _visits(nodes, cosine, True).join(full, ["dim", "block", "cell"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
