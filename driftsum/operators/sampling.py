@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftsum.functions import rng
 
 BUCKETS = 1 << 16
+CELLS = 1 << 12
 
 
 def bucket(key: Column) -> Column:
@@ -61,13 +62,18 @@ def pick(points: DataFrame, weight: Column, u: float, key: str = "point_id") ->
 def weighted_sample(points: DataFrame, weight: Column, k: int, seed: int, tag: str = "draw", key: str = "point_id") -> DataFrame:
     """k draws with replacement by weight: the rows of ``points`` with draw_no.
 
-    Each draw finds its bucket among the totals, then its point by an equi-join on the bucket.
+    Both steps are equi-joins: the unit interval is cut into CELLS, a bucket lists the cells that it touches,
+    and a draw finds its bucket in its own cell, then its point in that bucket.
     """
     spark = points.sparkSession
-    totals = bucket_totals(points, weight, key)
-    draws = spark.range(k).select(F.col("id").alias("draw_no"), rng.uniform(seed, tag, F.col("id")).alias("u"))
-    draws = F.broadcast(totals).join(draws, (F.col("u") * F.col("everything") >= F.col("offset")) & (F.col("u") * F.col("everything") < F.col("offset") + F.col("total")))
-    draws = draws.select("draw_no", "bucket", (F.col("u") * F.col("everything")).alias("at"))
+    totals = bucket_totals(points, weight, key).where("total > 0 and everything > 0")
+    end = F.col("offset") + F.col("total")
+    touched = lambda x: F.least(F.floor(x / F.col("everything") * CELLS), F.lit(CELLS)).cast("long")
+    # one cell more on each side, so that rounding loses nothing
+    totals = totals.withColumn("cell", F.explode(F.sequence(touched(F.col("offset")) - 1, touched(end) + 1)))
+    draws = spark.range(k).select(F.col("id").alias("draw_no"), rng.uniform(seed, tag, F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("long"))
+    at = F.col("u") * F.col("everything")
+    draws = draws.join(F.broadcast(totals), "cell").where((at >= F.col("offset")) & (at < end)).select("draw_no", "bucket", at.alias("at"))
     rows = prefix_sums(points, weight, key)
     return rows.join(draws, "bucket").where("at >= lo and at < hi").drop("bucket", "lo", "hi", "at")
 
