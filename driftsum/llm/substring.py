@@ -165,6 +165,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
+    # a bucket holds what a few parts send; more buckets than that would only make rows of few hashes
+    buckets = min(parts, 256 + parts // 4)
     # equal texts: only the one with the smallest doc_id takes part in the search
     keyed = rows.where(F.octet_length("text") > 0).select("doc_id", F.md5("text").alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
@@ -187,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
         sizes = [*map(len, keys)]
         doc = np.repeat(np.array(ids, np.int64), sizes)
         packed = _reduce(np.concatenate(keys) if keys else np.empty(0, dtype), doc, doc)
-        return pa.Table.from_pylist([dict(zip(_SENT_ARROW.names, r, strict=True)) for r in _pack(*packed, part, parts)], _SENT_ARROW)
+        return pa.Table.from_pylist([dict(zip(_SENT_ARROW.names, r, strict=True)) for r in _pack(*packed, part, buckets)], _SENT_ARROW)
 
     def send_anchors(texts_: pa.Table, back: pa.Table) -> pa.Table:
         if not texts_.num_rows:
