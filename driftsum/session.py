@@ -16,6 +16,7 @@ from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 250_000
 _shipped: set[str] = set()
@@ -57,11 +58,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def splittable(grouped: DataFrame, *keys: str) -> DataFrame:
+    """The rows of an aggregate, with its keys as new expressions.
+
+    A join of an aggregate on its own keys reuses the aggregate's shuffle, and then Spark's skew rule, which
+    wants a plain shuffle on both sides, cannot split a hot key of the other side. Keys that the planner does
+    not recognise cost one more shuffle of the aggregate, which is the small side.
+    """
+    kind = dict(grouped.dtypes)
+    again = lambda c: F.concat(F.col(c), F.lit("")) if kind[c] == "string" else F.col(c) + F.lit(0).cast(kind[c])
+    return grouped.withColumns({c: again(c) for c in keys})
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Let Arrow batches for Python tasks hold 8 MB instead of Spark's 64 MB; another setting of the session stays."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, size)
 
 
