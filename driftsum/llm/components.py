@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftsum.session import materialize, release
+from driftsum.session import materialize, release, splittable
 
 ROUNDS = 60
 
@@ -33,9 +33,9 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     for _ in range(ROUNDS if state[0] else 0):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(splittable(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(splittable(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components", state[0])
         release(e)
         e, before, state = new, state, _state(new)

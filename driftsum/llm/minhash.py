@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from driftsum.llm.components import components
 from driftsum.llm.text import shingle_hashes, slices, word_hashes
-from driftsum.session import materialize, release, small_batches, table
+from driftsum.session import materialize, release, small_batches, splittable, table
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
@@ -197,7 +197,7 @@ def _verify_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     past the centre's set, so a task holds one set at a time.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("groups")).where("groups > 1")
-    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("salt"))
+    salted = pairs.join(splittable(many, "a"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("salt"))
     members = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role"))
     centres = salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct()
     rows = texts.hint("merge").join(members.unionAll(centres), "doc_id").select("a", "salt", "role", "doc_id", "text")
@@ -269,7 +269,7 @@ def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: in
     by = by.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("labels"))
     by = by.where("labels > 1 and size > 2")
     by = by.select("cluster", F.col("top.label").alias("top"), F.ceil(F.col("size") / CLUSTER).alias("wide"), F.ceil((F.col("size") - F.col("top.c")) / CLUSTER).alias("tall"))
-    rows = members.join(by, "cluster").withColumn("h", F.xxhash64("node"))
+    rows = members.join(splittable(by, "cluster"), "cluster").withColumn("h", F.xxhash64("node"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     everyone = rows.select("*", F.pmod("h", F.col("wide")).alias("j"), numbers("tall").alias("i"), F.lit(1).alias("role"))
     minor = rows.where("label <> top").select("*", numbers("wide").alias("j"), F.pmod(F.shiftrightunsigned("h", 20), F.col("tall")).alias("i"), F.lit(0).alias("role"))
@@ -307,11 +307,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     total = sigs.count()  # from the files' footers
     sets = sigs.where("h1 is not null and doc_id is not null")
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(sets.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes", 8 * total)  # wide rows
+    nodes = materialize(sets.join(splittable(classes, "h1", "h2"), ["h1", "h2"]).where("doc_id = node").select("node", "n", "sig"), "minhash-nodes", 8 * total)  # wide rows
 
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
-    shared = materialize(bands.join(shared.where("lo < hi").select("key", "size"), "key").select("key", "node", "size"), "minhash-shared", BANDS * total)
+    shared = materialize(bands.join(splittable(shared.where("lo < hi").select("key", "size"), "key"), "key").select("key", "node", "size"), "minhash-shared", BANDS * total)
     clusters = materialize(components(_likely_edges(shared, nodes, percent), total), "minhash-clusters", total)
 
     # only documents of clusters can be linked: the texts of the others are not read again. They may be any
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     release(shared, texts, nodes)
 
     known = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    out = sigs.join(known, ["h1", "h2"], "left")
+    out = sigs.join(splittable(known, "h1", "h2"), ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsum.llm.text import window_hashes, word_hashes
-from driftsum.session import table
+from driftsum.session import splittable, table
 
 WINDOW = 50
 #: A perfect difference set modulo 31.
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
     keyed = rows.where(F.octet_length("text") > 0).select("doc_id", F.md5("text").alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     part = lambda text: F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), text)), F.lit(parts)).cast("int")
-    copies = keyed.join(first, "digest").where("doc_id > first").select(part(F.lit(None).cast("string")).alias("part"), F.concat_ws(":", "doc_id", "digest").alias("id"))
+    copies = keyed.join(splittable(first, "digest"), "digest").where("doc_id > first").select(part(F.lit(None).cast("string")).alias("part"), F.concat_ws(":", "doc_id", "digest").alias("id"))
     # packed by part, in the layout of the answers: kind 0 has the doc_ids and text digests of copies
     copies = copies.groupBy("part").agg(F.concat_ws(",", F.collect_set("id")).cast("binary").alias("keys"))
     copies = copies.select("part", F.lit(0).alias("kind"), "keys", F.lit(b"").alias("low"))

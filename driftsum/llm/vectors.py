@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsum.llm.components import components
-from driftsum.session import materialize, table
+from driftsum.session import materialize, splittable, table
 
 COSINE = 0.95
 BLOCK_DIMS = 16
@@ -179,7 +179,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = nodes.join(counts, ["node", "h1"], "left").join(roots, "node", "left")
     classes = classes.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    out = rows.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    out = rows.select("vec_id", "h1", "h2").join(splittable(classes, "h1", "h2"), ["h1", "h2"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
     return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftsum.session import materialize, small_batches, table
+from driftsum.session import materialize, small_batches, splittable, table
 
 #: Fixed values of the formats.
 SEEK_MAGIC, SEEK_FOOTER, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -171,7 +171,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"))
     first = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
-    out = rows.join(first.where("times > 1 and first is not null").drop("times"), "digest", "left")
+    out = rows.join(splittable(first.where("times > 1 and first is not null").drop("times"), "digest"), "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.col("first"))
     out = out.withColumn("refers_to", refers)
     return out.select("page_id", "url", "n", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
