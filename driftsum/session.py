@@ -63,10 +63,11 @@ def splittable(grouped: DataFrame, *keys: str) -> DataFrame:
 
     A join of an aggregate on its own keys reuses the aggregate's shuffle, and then Spark's skew rule, which
     wants a plain shuffle on both sides, cannot split a hot key of the other side. Keys that the planner does
-    not recognise cost one more shuffle of the aggregate, which is the small side.
+    not recognise (and does not simplify, as it would x + 0) cost one more shuffle of the aggregate, which is
+    the small side. Keys are strings or whole numbers.
     """
     kind = dict(grouped.dtypes)
-    again = lambda c: F.concat(F.col(c), F.lit("")) if kind[c] == "string" else F.col(c) + F.lit(0).cast(kind[c])
+    again = lambda c: F.concat(F.col(c), F.lit("")) if kind[c] == "string" else F.col(c).bitwiseXOR(F.lit(0).cast(kind[c]))
     return grouped.withColumns({c: again(c) for c in keys})
 
 
