@@ -44,9 +44,7 @@ def test_naive_merges_agree(encoder):
             if not ranks:
                 return out
             _, i = min(ranks)
-            left, right = out[i], out[i + 1]
-            whole = next(k for k, v in encoder.parts.items() if v[:2] == (left, right)) if False else merged[left, right]
-            out[i : i + 2] = [whole]
+            out[i : i + 2] = [merged[out[i], out[i + 1]]]
 
     merged = {v[:2]: k for k, v in encoder.parts.items()}
     for _ in range(400):

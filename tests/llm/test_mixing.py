@@ -55,4 +55,3 @@ def test_hard_texts(spark, hard, nothing):
     rows = mixing.with_copies(sized, mixing.source_rates(sized)).collect()
     assert len(rows) == hard.count() and {r["size"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
     assert mixing.mix_documents(nothing).collect() == []
-    assert mixing.word_count(F.lit("")) is not None

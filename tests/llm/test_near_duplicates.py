@@ -96,7 +96,6 @@ def test_registers_and_estimates():
 def test_shingles_of_short_texts():
     h = word_hashes([b"a", b"b"])
     assert len(shingle_hashes(h, 3)) == 1 and len(shingle_hashes(h[:0], 3)) == 0
-    assert shingle_hashes(h, 3)[0] != shingle_hashes(h, 2)[0] or True
     assert len(shingle_hashes(word_hashes([b"a"] * 50), 3)) == 1
 
 
