@@ -2,16 +2,20 @@
 
 Three patterns find assigned values, access keys and long hexadecimal runs. Beyond them, long runs of
 key characters are judged by two character Markov models, one of random strings and one of
-ordinary identifiers: a run is a secret if its log-likelihood ratio is at least ``THRESHOLD``.
-Both models are trained from labelled samples by counting neighbouring characters; the counts are
+ordinary identifiers. The log-likelihood ratio is summed along the run and starts anew where it falls to 0
+or by ``DROP``, so names before or after a random value do not count against it. A stretch between two
+such places is a secret if its sum is at least ``MARGIN`` plus the logarithm of the run's length (by
+chance, a model's sum reaches that in a share exp(-MARGIN) of runs), and at most ``THRESHOLD``; the span goes
+on to the next separators, or to the run's ends. A run whose whole sum reaches ``THRESHOLD`` without such a
+stretch is a secret as a whole. Both models are trained from labelled samples by counting neighbouring characters; the counts are
 at most 2 x 63 x 63 numbers, and their ratio becomes one constant array in the plan.
 
 Positions come from splitting a text at the matches: the lengths of gaps and matches add up to
 starts and ends in code points.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty table
-gives an empty one; other columns stay as they are. A span of the models that overlaps one of a
-pattern is left out.
+gives an empty one; other columns stay as they are. A run that overlaps a span of a pattern
+is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES, THRESHOLD, PRIOR = 3000, 18.0, 0.5
+#: LEAST: the fewest characters of a stretch of a run that is judged.
+MARGIN, DROP, LEAST, SEPARATORS = 8.0, 12.0, 12, "=/_-"
 
 #: Words from which ordinary identifiers are made.
 ORDINARY = """account action address after amount answer application array balance before between binary
@@ -65,7 +71,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES, seed: str = "train")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(digest))
     plain = F.regexp_replace(base64, "[+/=]", "")
-    forms = [digest, F.substring(base64, 1, 40), plain, F.upper(plain), F.lower(plain)]
+    forms = [digest, F.substring(base64, 1, 40), plain, F.upper(plain), F.lower(plain), F.upper(digest)]
     strings = ids.select(F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int")).alias("text"), F.lit(1).alias("random"))
     words = F.array(*map(F.lit, ORDINARY))
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(len(ORDINARY))) + 1).cast("int"))
@@ -132,15 +138,61 @@ def _spans(pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
     return F.when(t.rlike(pattern), found).otherwise(none)
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _stretches(run: Column, ratios: list[float]) -> Column:
+    """Sorted, disjoint (start, rank, end) of the secrets in a string of ALPHABET characters, counted from its start."""
+    values = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")  # folded into a constant
+    n = F.length(run)
+    enough = F.least(F.lit(THRESHOLD), F.lit(MARGIN) + F.log(n))
+    state = "struct<i:int,before:int,total:double,sum:double,start:int,best:double,end:int,out:array<struct<start:int,rank:int,end:int>>>"
+    pack = lambda *x: F.struct(*x).cast(state)
+
+    def closed(s: Column) -> Column:
+        one = F.array(F.struct(s["start"], F.lit(4), s["end"])).cast(_SPANS)
+        return F.when((s["best"] >= enough) & (s["end"] - s["start"] >= LEAST), F.concat(s["out"], one)).otherwise(s["out"])
+
+    def step(s: Column, place: Column) -> Column:
+        i = s["i"] + 1  # characters so far, with this one
+        ratio = F.when(s["before"] > 0, F.element_at(values, (s["before"] - 1) * len(ALPHABET) + place)).otherwise(0.0)
+        up = s["sum"] + ratio
+        start = F.when(s["sum"] == 0, s["i"] - 1).otherwise(s["start"])
+        total = s["total"] + ratio
+        ends = (up <= 0) | (up < s["best"] - DROP)
+        anew = pack(i, place, total, F.lit(0.0), s["i"], F.lit(0.0), s["i"], closed(s))
+        higher = pack(i, place, total, up, start, up, i, s["out"])
+        return F.when(ends, anew).when(up > s["best"], higher).otherwise(pack(i, place, total, up, start, s["best"], s["end"], s["out"]))
+
+    first = pack(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.array().cast(_SPANS))
+    whole = F.array(F.struct(F.lit(0), F.lit(4), n)).cast(_SPANS)
+    places = F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    found = F.aggregate(places, first, step, lambda s: F.when((F.size(closed(s)) == 0) & (s["total"] >= THRESHOLD), whole).otherwise(closed(s)))
+    parted = F.translate(run, SEPARATORS, SEPARATORS[0] * len(SEPARATORS))
+
+    def extended(x: Column) -> Column:
+        before = F.substring_index(F.substring(parted, F.lit(1), x["start"]), SEPARATORS[0], -1)
+        after = F.substring_index(F.substring(parted, x["end"] + 1, n), SEPARATORS[0], 1)
+        return F.struct(x["start"] - F.length(before), F.lit(4), x["end"] + F.length(after))
+
+    def merge(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        both = F.array(F.struct(last["start"], F.lit(4), F.greatest(last["end"], x["end"]))).cast(_SPANS)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), both)
+        return F.when(F.size(out) == 0, F.array(x)).when(x["start"] < last["end"], joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.transform(found, extended).cast(_SPANS), F.array().cast(_SPANS), merge)
+
+
+def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``secrets``: sorted arrays of (start, rank, end), of the patterns alone and with those of the models."""
     t, names = F.coalesce(F.col(text).cast("string"), F.lit("")), docs.columns
     out = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), t.alias("t"))
     out = out.select("*", _spans(ASSIGN, 1, group=2, least=6).alias("assign"), _spans(ACCESS, 2).alias("access"), _spans(HEX, 3).alias("hex"), _spans(RUN, 4).alias("runs"))
     out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    moved = lambda p: F.transform(
+        _stretches(F.substring(F.col("t"), p["start"] + 1, p["end"] - p["start"]), ratios),
+        lambda x: F.struct((x["start"] + p["start"]).alias("start"), x["rank"].alias("rank"), (x["end"] + p["start"]).alias("end")),
+    )
     apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    random = lambda r: likelihood_ratio(F.substring(F.col("t"), r["start"] + 1, r["end"] - r["start"]), ratios) >= threshold
-    more = F.when(F.size("runs") > 0, F.filter(F.filter("runs", apart), random)).otherwise(F.col("runs"))
+    more = F.when(F.size("runs") > 0, F.flatten(F.transform(F.filter("runs", apart), moved))).otherwise(F.col("runs"))
     return out.withColumn("secrets", F.array_sort(F.concat("base", more))).select("row.*", "base", "secrets")
 
 

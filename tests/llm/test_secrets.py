@@ -68,3 +68,32 @@ def test_hard_texts(hard, nothing, ratios):
 def test_main_path_is_native(spark, ratios):
     plan = secrets.op3_secrets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def glued(prefix, alphabet, n, count=200):
+    import random
+
+    r = random.Random(f"{prefix}{n}")
+    return [prefix + "".join(r.choices(alphabet, k=n)) for _ in range(count)]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+PREFIXES = ["", "AWS_SECRET_ACCESS_KEY=", "session_id=", "AUTH_SESSION_COOKIE=", "bearer-authorization=", "database_connection_string=", "config/settings/prod_"]
+
+
+def test_values_behind_names(spark, ratios):
+    """Values of which some is in no span are few, whatever name is before them."""
+    from pyspark.sql import functions as F
+
+    most = {("alphanumeric", 20): 0.03, ("alphanumeric", 24): 0.03, ("alphanumeric", 40): 0.01, ("HEX", 24): 0.05, ("HEX", 32): 0.02}
+    texts = [(p, k, n, t) for p in PREFIXES for k, n in most for t in glued(p, LETTERS if k == "alphanumeric" else "0123456789ABCDEF", n)]
+    rows = secrets.scan(spark.createDataFrame(texts, "prefix string, kind string, n int, text string"), ratios)
+    whole = F.exists("secrets", lambda s: (s["start"] <= F.length("prefix")) & (s["end"] == F.length("text")))
+    missed = rows.groupBy("prefix", "kind", "n").agg(F.avg(F.when(whole, 0.0).otherwise(1.0)).alias("share")).collect()
+    assert [r for r in missed if r["share"] > most[r["kind"], r["n"]]] == []
+
+
+def test_names_alone_are_no_secrets(spark, ratios):
+    names = ["AWS_SECRET_ACCESS_KEY=database_connection_string", "config/settings/production_environment", "AbstractSingletonProxyFactoryBean", "MAX_CONNECTION_POOL_SIZE_LIMIT=200", "site-packages/numpy/core/multiarray", ""]
+    rows = secrets.scan(spark.createDataFrame([(t,) for t in names], "text string"), ratios).collect()
+    assert [r["text"] for r in rows if r["secrets"]] == []
