@@ -14,8 +14,8 @@ Positions come from splitting a text at the matches: the lengths of gaps and mat
 starts and ends in code points.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty table
-gives an empty one; other columns stay as they are. A run that overlaps a span of a pattern
-is left out.
+gives an empty one; other columns stay as they are. Runs are cut at the spans of the patterns, and each
+remaining piece is judged for itself, so spans of the models overlap neither those nor each other.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES, THRESHOLD, PRIOR = 3000, 18.0, 0.5
-#: LEAST: the fewest characters of a stretch of a run that is judged.
+#: LEAST: the fewest characters of a piece of a run, and of a stretch in it, that is judged.
 MARGIN, DROP, LEAST, SEPARATORS = 8.0, 12.0, 12, "=/_-"
 
 #: Words from which ordinary identifiers are made.
@@ -138,6 +138,18 @@ def _spans(pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
     return F.when(t.rlike(pattern), found).otherwise(none)
 
 
+def _cut(runs: Column, at: Column) -> Column:
+    """What is left of ``runs`` outside the sorted spans ``at``: an array of (start, rank, end)."""
+    piece = lambda start, end: F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end")))).otherwise(F.array()).cast(_SPANS)
+
+    def pieces(r: Column) -> Column:
+        inside = F.filter(at, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], piece(s["at"], b["start"])).alias("out"))
+        return F.aggregate(inside, F.struct(r["start"].alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: F.concat(s["out"], piece(s["at"], r["end"])))
+
+    return F.flatten(F.transform(runs, pieces))
+
+
 def _stretches(run: Column, ratios: list[float]) -> Column:
     """Sorted, disjoint (start, rank, end) of the secrets in a string of ALPHABET characters, counted from its start."""
     values = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")  # folded into a constant
@@ -191,8 +203,7 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
         _stretches(F.substring(F.col("t"), p["start"] + 1, p["end"] - p["start"]), ratios),
         lambda x: F.struct((x["start"] + p["start"]).alias("start"), x["rank"].alias("rank"), (x["end"] + p["start"]).alias("end")),
     )
-    apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    more = F.when(F.size("runs") > 0, F.flatten(F.transform(F.filter("runs", apart), moved))).otherwise(F.col("runs"))
+    more = F.when(F.size("runs") > 0, F.flatten(F.transform(_cut(F.col("runs"), F.col("base")), moved))).otherwise(F.col("runs"))
     return out.withColumn("secrets", F.array_sort(F.concat("base", more))).select("row.*", "base", "secrets")
 
 
