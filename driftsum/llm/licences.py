@@ -4,14 +4,18 @@ A text is brought to a canonical form: copyright lines go, A-Z become lower case
 spellings become one, punctuation and white space become single spaces. The SHA-256 of that form is
 looked up among the digests of known licences: entire documents by a hash join, single lines
 (notices) in a constant table. Both tables are fixed in size and made by the same rules from the
-texts below, so nothing that grows with the data is broadcast.
+texts below and the files in ``licence_texts``; a table of further licences may be given, and is joined
+without a hint, so nothing that grows with the data is broadcast.
 
 Defined results: a null text counts as empty; a text with an empty canonical form matches nothing;
-repeated rows are scanned alike; an empty table gives an empty one; other columns are ignored.
+repeated rows are scanned alike; an empty table gives an empty one; other columns are ignored. A text known by two identifiers has the first in
+order.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,8 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 """ + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + """
 For more information, please refer to <https://unlicense.org>"""),
 )
+#: Longer licences, a file each; the name is the identifier. What follows END (how to apply the licence) may be missing.
+FILES, END = Path(__file__).with_name("licence_texts"), "END OF TERMS AND CONDITIONS"
 #: Notices that fill a line; all of them hold the word license.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -109,8 +115,20 @@ def entire_texts() -> tuple[tuple[str, str], ...]:
     return tuple((i, t) for i, title, text in TEXTS for t in (text, f"{title}\n\n{text}"))
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, licence, n_notices, notices): the digest of the whole text and the licence that it is, if any; the number of lines that are known notices, and their licences, sorted, without repeats, joined by commas."""
+def long_texts() -> tuple[tuple[str, str], ...]:
+    """The licences in FILES, whole and up to END, with and without that line."""
+    out = []
+    for file in sorted(FILES.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        body = text.partition(END)[0]
+        out += [(file.stem, t) for t in ((text, body, body + END) if body != text else (text,))]
+    return tuple(out)
+
+
+def scan_licences(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``texts`` (licence, text): whole licences to know besides those of this module; rows with a null or an empty canonical form are ignored.
+
+    (doc_id, digest, licence, n_notices, notices): the digest of the whole text and the licence that it is, if any; the number of lines that are known notices, and their licences, sorted, without repeats, joined by commas."""
     spark = docs.sparkSession
     notices = {r["digest"]: r["licence"] for r in known(spark, NOTICES).collect()}  # a constant of this module
     names = F.create_map(*[F.lit(x) for pair in notices.items() for x in pair])
@@ -120,8 +138,14 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     lines = F.transform(F.split("text", "\n", -1), lambda line: F.element_at(names, F.sha2(canonical(line), 256)))
     found = F.when(F.col("text").rlike("[lL][iI][cC][eE][nN][cCsS][eE]"), F.filter(lines, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"))
-    whole = known(spark, entire_texts())
-    return rows.join(F.broadcast(whole), "digest", "left").select(
+    whole = known(spark, entire_texts() + long_texts())
+    if texts is None:
+        whole = F.broadcast(whole)
+    else:
+        form = canonical(texts["text"].cast("string"))
+        more = texts.where(texts["licence"].isNotNull() & (form != "")).select(F.sha2(form, 256).alias("digest"), texts["licence"].cast("string").alias("licence"))
+        whole = whole.unionAll(more).groupBy("digest").agg(F.min("licence").alias("licence"))
+    return rows.join(whole, "digest", "left").select(
         "doc_id", "digest", "licence", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices")
     )
 

@@ -26,3 +26,21 @@ def test_all_known_texts_differ(spark):
     names = {i for i, _ in licences.entire_texts()}
     rows = licences.known(spark, licences.entire_texts()).collect()
     assert len(rows) == 2 * len(names) and {r["licence"] for r in rows} == names
+
+
+def test_long_texts(spark):
+    """Whole licences, in other letters and line ends, with and without what follows the terms."""
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in licences.FILES.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    cases = [(i, v) for i, t in texts.items() for v in (t, t.upper().replace("\n", "\r\n"), t.partition(licences.END)[0])]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(cases)] + [(-1, texts["GPL-3.0"][:20_000])], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(docs).collect()}
+    assert [got[n] for n in range(len(cases))] == [i for i, _ in cases] and got[-1] is None
+
+
+def test_given_texts(spark, hard):
+    more = spark.createDataFrame([("House-1.0", "Do as\nyou like."), ("House-0.9", "do as you LIKE"), ("Empty", ""), ("Null", None), (None, "Anything goes.")], "licence string, text string")
+    docs = spark.createDataFrame([(1, "DO AS YOU LIKE!"), (2, ""), (3, None), (4, "Anything goes."), (5, licences.entire_texts()[0][1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(docs, more).collect()}
+    assert got == {1: "House-0.9", 2: None, 3: None, 4: None, 5: "MIT"}
+    assert licences.scan_licences(hard, more).count() == hard.count()
