@@ -663,4 +663,4 @@ def exact_kmeans(spark, sf_dir):
 def report(spark, sf_dir):
     from driftsum.plans.report import experiment
 
-    return experiment(generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED), 2, K, DRAWS, SEED, every=5000)
+    return experiment(generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED), 2, K, DRAWS, SEED, every=1000)

@@ -11,6 +11,10 @@ from driftsum.operators import baselines, coreset, kmeans, metrics, tree
 from driftsum.operators.replay import live_set
 from driftsum.session import materialize
 from driftsum.sources.oplog import REPORT
+from driftsum.streaming.maintain import Summary
+
+#: The reference reports on the last 625 * skip operations.
+CHECKPOINTS = 625
 
 
 def _timed(f):
@@ -19,18 +23,33 @@ def _timed(f):
     return out, (time.monotonic() - start) * 1e6
 
 
-def experiment(ops: DataFrame, dims: int, k: int, draws: int, seed: int, every: int, rounds: int = 3, checkpoints: int = 2) -> DataFrame:
+def experiment(ops: DataFrame, dims: int, k: int, draws: int, seed: int, every: int, rounds: int = 3, checkpoints: int = CHECKPOINTS) -> DataFrame:
     """One row for each of the last ``checkpoints`` positions divisible by ``every``, with the columns of REPORT.
 
-    The tree summary is made for the checkpoint's live set; times are microseconds; the columns of the exact
-    solvers stay 0 where the inputs are too large for enumeration.
+    Two trees follow the live set from the first position on, in steps of ``every`` operations; the rows of a position
+    are made from the trees as they are then, and their times are those of following and reading them. Times are
+    microseconds; the columns of the exact solvers stay 0 where the inputs are too large for enumeration.
     """
     spark = ops.sparkSession
     ops = materialize(ops, "report-ops")
     last = ops.agg(F.max("seq")).first()[0] or 0
     rows = []
-    for at in range(max(0, last // every - checkpoints + 1) * every, last + 1, every):
+    shape = tree.Shape(k=k, size=draws, cutoff=draws, leaf=max(1, draws // 2), seed=seed)
+    lazy = tree.Shape(k=k, size=draws, cutoff=2 * draws, leaf=draws, seed=seed)
+    trees = {"d": Summary(shape), "o": Summary(lazy)}
+    numbered = F.monotonically_increasing_id().alias("point_id")
+
+    def maintained(name: str, live: DataFrame) -> DataFrame:
+        trees[name].follow(live)
+        return trees[name].rows().select(numbered, "weight", "coords")
+
+    first = max(0, last // every - checkpoints + 1) * every
+    for at in range(0, last + 1, every):
         live = materialize(live_set(ops, at).select("point_id", "weight", "coords"), "report-live")
+        if at < first:
+            for summary in trees.values():
+                summary.follow(live)
+            continue
         full, t_t = _timed(lambda: kmeans.kmeans(live, k, seed, rounds))
         values = {"op": at, "t_t": t_t}
 
@@ -39,13 +58,10 @@ def experiment(ops: DataFrame, dims: int, k: int, draws: int, seed: int, every:
             return cost / weight if weight else float("nan")
 
         values["t_c"] = ton_t = average(live, full)
-        shape = tree.Shape(k=k, size=draws, cutoff=draws, leaf=max(1, draws // 2), seed=seed)
-        lazy = tree.Shape(k=k, size=draws, cutoff=2 * draws, leaf=draws, seed=seed)
         key = F.coalesce("draw_no", F.lit(1 << 40) + F.col("cluster_id")).cast("long").alias("point_id")
-        numbered = F.monotonically_increasing_id().alias("point_id")
         makers = {
-            "d": lambda: tree.outer(tree.build(live, shape), shape).select(numbered, "weight", "coords"),
-            "o": lambda: tree.outer(tree.build(live, lazy), lazy).select(numbered, "weight", "coords"),
+            "d": lambda live=live: maintained("d", live),
+            "o": lambda live=live: maintained("o", live),
             "s": lambda: coreset.summarize(live, k, draws, seed, dims, weighted=False).select(key, "weight", "coords"),
             "r": lambda: coreset.uniform_summary(live, draws, seed).select(F.col("draw_no").alias("point_id"), "weight", "coords"),
         }

@@ -42,6 +42,22 @@ def test_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_report_covers_the_log_from_maintained_trees(spark, monkeypatch):
+    from driftsum.plans import report
+    from driftsum.streaming.maintain import Summary
+
+    followed = []
+    follow = Summary.follow
+    monkeypatch.setattr(Summary, "follow", lambda self, points: (followed.append(id(self)), follow(self, points))[1])
+    ops = queries.generators.sliding_window(queries.pts_orders(spark, SF), queries.WINDOW, queries.P, queries.SEED)
+    rows = report.experiment(ops, 2, queries.K, queries.DRAWS, queries.SEED, every=1000, checkpoints=1).collect()
+    last = ops.agg({"seq": "max"}).first()[0]
+    assert [r["op"] for r in rows] == [at for at in range(0, last + 1, 1000)][-1:] and min(r["op"] for r in rows) > 0
+    assert len(followed) == 2 * (last // 1000 + 1) and len(set(followed)) == 2  # two trees, kept from the first position on
+    for r in rows:
+        assert r["t_c"] > 0 and all(0.3 < r[f"{x}k_q"] < 1.5 for x in "dos"), r
+
+
 def test_entry(spark):
     import __spark_entry__
 
