@@ -108,7 +108,7 @@ def win_sliding(spark, sf_dir):
 
 @query()
 def win_const(spark, sf_dir):
-    return spread(generators.constant_window(pts_orders(spark, sf_dir), 200, 300, 0.7, SEED, steps=1000), 2, "seq", "point_id", "op", "weight")
+    return spread(generators.constant_window(pts_orders(spark, sf_dir), 200, 300, 0.7, SEED), 2, "seq", "point_id", "op", "weight")
 
 
 @query()

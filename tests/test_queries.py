@@ -58,6 +58,12 @@ def test_report_covers_the_log_from_maintained_trees(spark, monkeypatch):
         assert r["t_c"] > 0 and all(0.3 < r[f"{x}k_q"] < 1.5 for x in "dos"), r
 
 
+def test_constant_window_has_all_steps(spark):
+    """5,000 alternating steps, and random ones until nothing is left to delete."""
+    ops = [r["op"] for r in queries.QUERIES["win_const"](spark, SF.replace("sf0.001", "sf0.01")).select("op").collect()]
+    assert len(ops) > 5_500 and ops.count(1) == ops.count(0)
+
+
 def test_entry(spark):
     import __spark_entry__
 
