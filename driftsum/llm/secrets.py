@@ -1,25 +1,30 @@
 """Secret scans with DataFrame functions alone.
 
-Three patterns find assigned values, access keys and long hexadecimal runs. Beyond them, long runs of
+Three patterns find assigned values, access keys and long hexadecimal runs. Beyond them, runs of
 key characters are judged by two character Markov models, one of random strings and one of
-ordinary identifiers. The log-likelihood ratio is summed along the run and starts anew where it falls to 0
+ordinary identifiers: runs of 20 characters or more, and, beside a span of the patterns, what is left of
+a run from ``LEAST`` characters on. The log-likelihood ratio is summed along the run and starts anew where it falls to 0
 or by ``DROP``, so names before or after a random value do not count against it. A stretch between two
 such places is a secret if its sum is at least ``MARGIN`` plus the logarithm of the run's length (by
-chance, a model's sum reaches that in a share exp(-MARGIN) of runs), and at most ``THRESHOLD``; the span goes
-on to the next separators, or to the run's ends. A run whose whole sum reaches ``THRESHOLD`` without such a
+chance, a model's sum reaches that in a share exp(-MARGIN) of runs), and at most ``THRESHOLD``; the span begins after the last separator
+at or before its start and goes on to the next one, or to the run's ends. A run whose whole sum reaches ``THRESHOLD`` without such a
 stretch is a secret as a whole. Both models are trained from labelled samples by counting neighbouring characters; the counts are
-at most 2 x 63 x 63 numbers, and their ratio becomes one constant array in the plan.
+at most 2 x 67 x 67 numbers, and their ratio becomes one constant array in the plan.
 
-Positions come from splitting a text at the matches: the lengths of gaps and matches add up to
-starts and ends in code points.
+Positions come from splitting a text at the matches: the running sums of the lengths of gaps and matches are
+starts and ends in code points. Arrays and texts are worked through in chunks of bounded size, each value read once, so
+the work grows in proportion to the text, however long it, its runs and its lists of matches are.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty table
-gives an empty one; other columns stay as they are. Runs are cut at the spans of the patterns, and each
-remaining piece is judged for itself, so spans of the models overlap neither those nor each other.
+Defined results: null and empty texts have no spans; very long texts and runs are scanned whole; repeated rows
+are scanned alike; of matches that overlap (ties included) each kind keeps its own; an empty table
+gives an empty one; other columns stay as they are, whatever their names (result columns whose names
+are taken get an underscore). Spans of the models overlap neither spans of the patterns nor each other. A
+noncharacter U+FFFF in a text counts as the end of a span of a pattern beside which shorter pieces are judged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +38,16 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A character that no interchanged text has stands for those covered by spans of the patterns.
+COVERED = "\uffff"
+RUN = r"(?<=\uffff)[A-Za-z0-9+/_=-]{12,}|[A-Za-z0-9+/_=-]{12,}+(?=\uffff)|[A-Za-z0-9+/_=-]{20,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES, THRESHOLD, PRIOR = 3000, 18.0, 0.5
-#: LEAST: the fewest characters of a piece of a run, and of a stretch in it, that is judged.
+#: LEAST: the fewest characters of a piece of a run, and of a stretch in it, that is judged (as in RUN).
 MARGIN, DROP, LEAST, SEPARATORS = 8.0, 12.0, 12, "=/_-"
+#: CHUNK: elements of an array, TEXT_CHUNK: characters of a text, that are worked through at once.
+CHUNK, TEXT_CHUNK = 256, 4096
 
 #: Words from which ordinary identifiers are made.
 ORDINARY = """account action address after amount answer application array balance before between binary
@@ -106,105 +115,218 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _chunks(text: Column) -> Column:
+    """The text as an array of strings of TEXT_CHUNK characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_CHUNK}}}"), F.lit(0))
+
+
+def _constant(ratios: list[float]) -> Column:
+    return F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")  # folded into a constant
+
+
+def _places(chars: Column) -> Column:
+    return F.transform(F.split(chars, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+
+
 def likelihood_ratio(run: Column, ratios: list[float]) -> Column:
-    """Of a string of ALPHABET characters, two at least."""
-    values = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")  # folded into a constant
-    step = lambda total, i: total + F.element_at(values, ((_place(run, i - 1) - 1) * len(ALPHABET) + _place(run, i)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(2), F.length(run)), F.lit(0.0), step)
+    """The sum over the neighbouring characters of a string of ALPHABET characters."""
+    values = _constant(ratios)
+
+    def step(s: Column, place: Column) -> Column:
+        ratio = F.when(s["before"] > 0, F.get(values, (s["before"] - 1) * len(ALPHABET) + place - 1)).otherwise(0.0)
+        return F.struct(place.alias("before"), (s["sum"] + ratio).alias("sum"))
+
+    start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
+    return F.aggregate(_chunks(run), start, lambda s, chunk: F.aggregate(_places(chunk), s, step), lambda s: s["sum"])
+
+
+_SPAN = "struct<start:int,rank:int,end:int>"
+_SPANS = f"array<{_SPAN}>"
+
+
+def _span(start: Column, rank: Column | int, end: Column) -> Column:
+    return F.array(F.struct(start, F.lit(rank) if isinstance(rank, int) else rank, end)).cast(_SPANS)
+
+
+def _no_spans() -> Column:
+    return F.array().cast(_SPANS)
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of whole numbers: sums inside chunks, and offsets over the chunks."""
+    inside = lambda c: F.aggregate(c, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + x)))
+
+    def offset(s: Column, c: Column) -> Column:
+        moved = F.transform(c, lambda x: x + s["at"])
+        return F.struct((s["at"] + F.get(c, F.size(c) - 1)).alias("at"), F.concat(s["out"], F.array(moved)).alias("out"))
+
+    def whole(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / CHUNK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: inside(F.slice(xs, i * CHUNK + 1, F.lit(CHUNK))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.aggregate(cut, start, offset, lambda s: s["out"])))
+
+    return _let(lengths, whole)
+
 
+def _matches(t: Column, pattern: str, group: int = 0) -> Column:
+    """(start, end, text, tested length) of the matches in ``t``, in order; ``text`` is the match, the length that of ``group``."""
+    found, tested = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+    gaps = F.split(t, pattern, -1)  # one more than the matches
 
-def _place(run: Column, i: Column) -> Column:
-    return F.position(F.substring(run, i, F.lit(1)), F.lit(ALPHABET))
+    def rows(texts: Column) -> Column:
+        sizes = F.transform(texts, F.length)
+        steps = F.zip_with(F.slice(F.transform(gaps, F.length), F.lit(1), F.size(texts)), sizes, lambda a, b: a + b)
+        return F.arrays_zip(_running(steps).alias("end"), sizes.alias("size"), texts.alias("text"), F.transform(tested, F.length).alias("tested"))
 
+    return _let(found, rows)
 
-_SPANS = "array<struct<start:int,rank:int,end:int>>"
 
+def _spans(t: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
+    """Sorted (start, rank, end) of the matches in ``t`` whose ``group`` has ``least`` characters."""
+    kept = F.filter(_matches(t, pattern, group), lambda x: x["tested"] >= least)
+    return F.when(t.rlike(pattern), F.transform(kept, lambda x: F.struct(x["end"] - x["size"], F.lit(rank), x["end"])).cast(_SPANS)).otherwise(_no_spans())
 
-def _spans(pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """Sorted (start, rank, end) of the matches in column ``t`` whose ``group`` has ``least`` characters."""
-    t, regex = F.col("t"), F.lit(pattern)
-    # fields 0, 1, 2: match, gap before it, tested group; the last gap has no match
-    parts = F.arrays_zip(F.regexp_extract_all(t, regex, F.lit(0)), F.split(t, pattern, -1), F.regexp_extract_all(t, regex, F.lit(group)))
+
+def _merged(spans: Column) -> Column:
+    """The sorted spans without overlaps: spans that share characters become one."""
 
     def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["1"])
-        end = start + F.length(x["0"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))).cast(_SPANS)
-        out = F.when(F.length(x["2"]) >= least, F.concat(s["out"], one)).otherwise(s["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        joined = F.struct(s["out"], F.struct(s["last"]["start"], s["last"]["rank"], F.greatest(s["last"]["end"], x["end"])).cast(_SPAN))
+        apart = F.struct(F.concat(s["out"], F.array(s["last"])), x)
+        return F.when(s["last"].isNull(), F.struct(s["out"], x).cast(state)).when(x["start"] < s["last"]["end"], joined.cast(state)).otherwise(apart.cast(state))
 
-    none = F.array().cast(_SPANS)
-    found = F.aggregate(F.filter(parts, lambda x: x["0"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(t.rlike(pattern), found).otherwise(none)
+    state = f"struct<out:{_SPANS},last:{_SPAN}>"
+    outer = f"struct<done:array<{_SPANS}>,last:{_SPAN}>"
 
+    def chunk(s: Column, xs: Column) -> Column:
+        return _let(F.aggregate(xs, F.struct(_no_spans(), s["last"]).cast(state), step), lambda r: F.struct(F.concat(s["done"], F.array(r["out"])), r["last"]).cast(outer))
 
-def _cut(runs: Column, at: Column) -> Column:
-    """What is left of ``runs`` outside the sorted spans ``at``: an array of (start, rank, end)."""
-    piece = lambda start, end: F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end")))).otherwise(F.array()).cast(_SPANS)
+    def whole(xs: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(F.array().cast(f"array<{_SPANS}>"), F.lit(None).cast(_SPAN)).cast(outer)
+        return F.when(F.size(xs) < 2, xs).otherwise(F.aggregate(cut, start, chunk, lambda s: F.concat(F.flatten(s["done"]), F.array(s["last"]))))
 
-    def pieces(r: Column) -> Column:
-        inside = F.filter(at, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], piece(s["at"], b["start"])).alias("out"))
-        return F.aggregate(inside, F.struct(r["start"].alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: F.concat(s["out"], piece(s["at"], r["end"])))
+    return _let(spans, whole)
 
-    return F.flatten(F.transform(runs, pieces))
 
+def _replaced(t: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """``t`` with each of the disjoint, sorted ``spans`` replaced, chunk by chunk, by ``fill(characters in the chunk, whether it starts there)``.
 
-def _stretches(run: Column, ratios: list[float]) -> Column:
-    """Sorted, disjoint (start, rank, end) of the secrets in a string of ALPHABET characters, counted from its start."""
-    values = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")  # folded into a constant
-    n = F.length(run)
-    enough = F.least(F.lit(THRESHOLD), F.lit(MARGIN) + F.log(n))
-    state = "struct<i:int,before:int,total:double,sum:double,start:int,best:double,end:int,out:array<struct<start:int,rank:int,end:int>>>"
-    pack = lambda *x: F.struct(*x).cast(state)
+    ``at`` spans end before the chunk; those that touch it are among the next TEXT_CHUNK + 1.
+    """
+    state = "struct<i:int,at:int,out:array<string>>"
+
+    def one(s: Column, chunk: Column, near: Column) -> Column:
+        low = s["i"] * TEXT_CHUNK
+
+        def step(r: Column, x: Column) -> Column:
+            start, end = F.greatest(x["start"] - low, F.lit(0)), F.least(x["end"] - low, F.lit(TEXT_CHUNK))
+            text = F.concat(r["out"], F.substring(chunk, r["at"] + 1, start - r["at"]), fill(end - start, x["start"] >= low))
+            return F.struct(end.alias("at"), text.alias("out"))
+
+        rest = lambda r: F.concat(r["out"], F.substring(chunk, r["at"] + 1, F.lit(TEXT_CHUNK)))
+        inside = F.filter(near, lambda x: x["start"] < low + TEXT_CHUNK)
+        text = F.when(F.size(near) == 0, chunk).otherwise(F.aggregate(inside, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
+        behind = F.size(F.filter(near, lambda x: x["end"] <= low + TEXT_CHUNK))
+        return F.struct(s["i"] + 1, s["at"] + behind, F.concat(s["out"], F.array(text))).cast(state)
+
+    def whole(spans: Column) -> Column:
+        step = lambda s, chunk: _let(F.slice(spans, s["at"] + 1, F.lit(TEXT_CHUNK + 1)), lambda near: one(s, chunk, near))
+        return F.aggregate(_chunks(t), F.struct(F.lit(0), F.lit(0), F.array().cast("array<string>")).cast(state), step, lambda s: F.array_join(s["out"], ""))
 
-    def closed(s: Column) -> Column:
-        one = F.array(F.struct(s["start"], F.lit(4), s["end"])).cast(_SPANS)
-        return F.when((s["best"] >= enough) & (s["end"] - s["start"] >= LEAST), F.concat(s["out"], one)).otherwise(s["out"])
+    return _let(spans, whole)
+
+
+_STATE = f"struct<i:int,before:int,total:double,sum:double,start:int,best:double,end:int,part:int,last:int,begin:int,stop:int,open:int,some:boolean,out:{_SPANS}>"
+
+
+def _stretches(run: Column, n: Column, ratios: list[float]) -> Column:
+    """Sorted, disjoint (start, rank, end) of the secrets in a string of ``n`` ALPHABET characters, counted from its start.
+
+    One pass: i characters are behind; a stretch from ``start`` has its largest sum ``best`` at ``end``. ``part`` is where the
+    part between separators begins that holds the last character, ``last`` the same one character before, ``begin`` that of ``start``;
+    ``stop`` is the first separator after ``end``, and ``open`` the beginning of a span that ends at the next one (-1: none).
+    """
+    values, separators = _constant(ratios), F.array(*[F.lit(ALPHABET.index(c) + 1) for c in SEPARATORS])
+    enough = F.least(F.lit(THRESHOLD), F.lit(MARGIN) + F.log(n))
+    pack = lambda *x: F.struct(*x).cast(_STATE)
+    none = F.lit(-1)
+    secret = lambda s: (s["best"] >= enough) & (s["end"] - s["start"] >= LEAST)
+
+    def closed(s: Column) -> tuple[Column, Column, Column]:
+        """open, some and out after the stretch of ``s`` has ended."""
+        waits = secret(s) & (s["stop"] < 0)
+        return (
+            F.when(waits & (s["open"] < 0), s["begin"]).otherwise(s["open"]), s["some"] | secret(s),
+            F.when(secret(s) & (s["stop"] >= 0), F.concat(s["out"], _span(s["begin"], 4, s["stop"]))).otherwise(s["out"]),
+        )
+
+    def separated(s: Column, place: Column) -> Column:
+        """``s`` after a look at whether the next character is a separator."""
+        out = F.when(s["open"] >= 0, F.concat(s["out"], _span(s["open"], 4, s["i"]))).otherwise(s["out"])
+        stop = F.when(s["stop"] < 0, s["i"]).otherwise(s["stop"])
+        found = pack(s["i"], s["before"], s["total"], s["sum"], s["start"], s["best"], s["end"], s["i"] + 1, s["part"], s["begin"], stop, none, s["some"], out)
+        other = pack(s["i"], s["before"], s["total"], s["sum"], s["start"], s["best"], s["end"], s["part"], s["part"], s["begin"], s["stop"], s["open"], s["some"], s["out"])
+        return F.when(F.array_contains(separators, place), found).otherwise(other)
 
     def step(s: Column, place: Column) -> Column:
-        i = s["i"] + 1  # characters so far, with this one
-        ratio = F.when(s["before"] > 0, F.element_at(values, (s["before"] - 1) * len(ALPHABET) + place)).otherwise(0.0)
-        up = s["sum"] + ratio
-        start = F.when(s["sum"] == 0, s["i"] - 1).otherwise(s["start"])
-        total = s["total"] + ratio
-        ends = (up <= 0) | (up < s["best"] - DROP)
-        anew = pack(i, place, total, F.lit(0.0), s["i"], F.lit(0.0), s["i"], closed(s))
-        higher = pack(i, place, total, up, start, up, i, s["out"])
-        return F.when(ends, anew).when(up > s["best"], higher).otherwise(pack(i, place, total, up, start, s["best"], s["end"], s["out"]))
-
-    first = pack(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.array().cast(_SPANS))
-    whole = F.array(F.struct(F.lit(0), F.lit(4), n)).cast(_SPANS)
-    places = F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    found = F.aggregate(places, first, step, lambda s: F.when((F.size(closed(s)) == 0) & (s["total"] >= THRESHOLD), whole).otherwise(closed(s)))
-    parted = F.translate(run, SEPARATORS, SEPARATORS[0] * len(SEPARATORS))
-
-    def extended(x: Column) -> Column:
-        before = F.substring_index(F.substring(parted, F.lit(1), x["start"]), SEPARATORS[0], -1)
-        after = F.substring_index(F.substring(parted, x["end"] + 1, n), SEPARATORS[0], 1)
-        return F.struct(x["start"] - F.length(before), F.lit(4), x["end"] + F.length(after))
-
-    def merge(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        both = F.array(F.struct(last["start"], F.lit(4), F.greatest(last["end"], x["end"]))).cast(_SPANS)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), both)
-        return F.when(F.size(out) == 0, F.array(x)).when(x["start"] < last["end"], joined).otherwise(F.concat(out, F.array(x)))
-
-    return F.aggregate(F.transform(found, extended).cast(_SPANS), F.array().cast(_SPANS), merge)
+        """``last`` is, here, the part of the character before this one."""
+        i = s["i"] + 1
+        ratio = F.when(s["before"] > 0, F.get(values, (s["before"] - 1) * len(ALPHABET) + place - 1)).otherwise(0.0)
+        first = s["sum"] == 0
+        start, begin = F.when(first, F.greatest(s["i"] - 1, F.lit(0))).otherwise(s["start"]), F.when(first, s["last"]).otherwise(s["begin"])
+
+        def moved(r: Column) -> Column:
+            up, total = s["sum"] + r, s["total"] + r
+            open_, some, out = closed(s)
+            anew = pack(i, place, total, F.lit(0.0), s["i"], F.lit(0.0), s["i"], s["part"], s["last"], s["last"], none, open_, some, out)
+            higher = pack(i, place, total, up, start, up, i, s["part"], s["last"], begin, none, s["open"], s["some"], s["out"])
+            same = pack(i, place, total, up, start, s["best"], s["end"], s["part"], s["last"], begin, s["stop"], s["open"], s["some"], s["out"])
+            return F.when((up <= 0) | (up < s["best"] - DROP), anew).when(up > s["best"], higher).otherwise(same)
+
+        return _let(ratio, moved)
+
+    zero = F.lit(0)
+    begin = pack(zero, zero, F.lit(0.0), F.lit(0.0), zero, F.lit(0.0), zero, zero, zero, zero, none, none, F.lit(False), _no_spans())
+
+    def end(s: Column) -> Column:
+        open_, some, out = closed(s)
+        return F.when(some, F.when(open_ >= 0, F.concat(out, _span(open_, 4, n))).otherwise(out)).when(s["total"] >= THRESHOLD, _span(zero, 4, n)).otherwise(_no_spans())
+
+    walk = lambda s, chunk: F.aggregate(_places(chunk), s, lambda s, place: _let(separated(s, place), lambda s: step(s, place)))
+    found = F.aggregate(_chunks(run), begin, walk, lambda s: _let(s, end))
+    return _merged(found)
+
+
+def _free(names: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
+def _scan(docs: DataFrame, ratios: list[float], text: str) -> DataFrame:
+    """row (all columns of ``docs``), t (the text, never null), base and secrets."""
+    t = F.col("t")
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+    out = out.select("*", F.array_sort(F.concat(_spans(t, ASSIGN, 1, group=2, least=6), _spans(t, ACCESS, 2), _spans(t, HEX, 3))).alias("base"))
+    hidden = _replaced(t, _merged(F.col("base")), lambda n, _: F.repeat(F.lit(COVERED), n))
+    out = out.withColumn("rest", F.when(F.size("base") > 0, hidden).otherwise(t))
+    one = lambda x: _let(x["end"] - x["size"], lambda at: F.transform(_stretches(x["text"], x["size"], ratios), lambda p: F.struct(p["start"] + at, p["rank"], p["end"] + at).cast(_SPAN)))
+    more = F.when(F.col("rest").rlike(RUN), F.flatten(F.transform(_matches(F.col("rest"), RUN), one))).otherwise(_no_spans())
+    return out.select("row", "t", "base", F.array_sort(F.concat("base", more)).alias("secrets"))
 
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``secrets``: sorted arrays of (start, rank, end), of the patterns alone and with those of the models."""
-    t, names = F.coalesce(F.col(text).cast("string"), F.lit("")), docs.columns
-    out = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), t.alias("t"))
-    out = out.select("*", _spans(ASSIGN, 1, group=2, least=6).alias("assign"), _spans(ACCESS, 2).alias("access"), _spans(HEX, 3).alias("hex"), _spans(RUN, 4).alias("runs"))
-    out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    moved = lambda p: F.transform(
-        _stretches(F.substring(F.col("t"), p["start"] + 1, p["end"] - p["start"]), ratios),
-        lambda x: F.struct((x["start"] + p["start"]).alias("start"), x["rank"].alias("rank"), (x["end"] + p["start"]).alias("end")),
-    )
-    more = F.when(F.size("runs") > 0, F.flatten(F.transform(_cut(F.col("runs"), F.col("base")), moved))).otherwise(F.col("runs"))
-    return out.withColumn("secrets", F.array_sort(F.concat("base", more))).select("row.*", "base", "secrets")
+    out = _scan(docs, ratios, text)
+    return out.select("row.*", *[F.col(c).alias(_free(docs.columns, c)) for c in ("base", "secrets")])
 
 
 def spans_text(spans: Column) -> Column:
@@ -215,20 +337,14 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of overlapping spans in ``text`` replaced by ``mark``; n_chars, where there is one, counts anew in changed texts."""
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= s["at"], F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
-
-    out = scan(docs, ratios)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    found = F.size("secrets") > 0
-    out = out.withColumn("clean", F.when(found, F.aggregate("secrets", start, step, end)).otherwise(F.col("text")))
-    new = {"text": F.col("clean")}
+    out, found = _scan(docs, ratios, "text"), F.size("secrets") > 0
+    clean = _replaced(F.col("t"), _merged(F.col("secrets")), lambda _, here: F.when(here, F.lit(mark)).otherwise(""))
+    out = out.select("row", "secrets", F.when(found, clean).alias("clean"))
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    new = {"text": F.when(found, F.col("clean")).otherwise(old["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(found, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(found, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    return out.select(*[new.get(c, old[c]).alias(c) for c in docs.columns])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 
 import pytest
@@ -5,6 +7,7 @@ import pytest
 from driftsum.llm import secrets
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 TEXTS = [
     "password = 'abc' token=abcdef Secret: hunter22 API_KEY=\"a.b/c+d==\" apikey:zzzzzz",
     "secret=token:abcdefgh tokentoken=short1 passwd=''x password=pass.word-1",
@@ -58,11 +61,140 @@ def test_redaction(spark, ratios):
             assert "[SECRET]" in r["text"] and not base(r["text"].replace("[SECRET]", " ")) and r["n_chars"] == len(r["text"])
 
 
+def places(run):
+    return [secrets.ALPHABET.index(c) for c in run]
+
+
+def stretches(run, ratios):
+    """Spans in a run, step by step."""
+    at, n = places(run), len(run)
+    step = [0.0] + [ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(at, at[1:], strict=False)]
+    enough = min(secrets.THRESHOLD, secrets.MARGIN + math.log(n))
+    found, total, start, best, end = [], 0.0, 0, 0.0, 0
+    for i, x in enumerate(step):
+        if total == 0:
+            start = max(i - 1, 0)
+        total += x
+        if total <= 0 or total < best - secrets.DROP:
+            found.append((best, start, end))
+            total, start, best, end = 0.0, i, 0.0, i
+        elif total > best:
+            best, end = total, i + 1
+    found.append((best, start, end))
+    kept = [(s, e) for x, s, e in found if x >= enough and e - s >= secrets.LEAST]
+    if not kept:
+        return [(0, n)] if sum(step) >= secrets.THRESHOLD else []
+    out = []
+    for s, e in kept:
+        s = max(run.rfind(c, 0, s + 1) + 1 for c in secrets.SEPARATORS)
+        e = min([run.find(c, e) for c in secrets.SEPARATORS if run.find(c, e) >= 0], default=n)
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def all_spans(text, ratios):
+    """Base spans, and those of the models in what they leave."""
+    text, spans = text or "", base(text)
+    hidden = list(text)
+    for s, _, e in spans:
+        hidden[s:e] = "\uffff" * (e - s)
+    hidden = "".join(hidden)
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", hidden):
+        beside = hidden[m.start() - 1 : m.start()] == "\uffff" or hidden[m.end() : m.end() + 1] == "\uffff"
+        if len(m[0]) >= (12 if beside else 20):
+            spans += [(m.start() + s, 4, m.start() + e) for s, e in stretches(m[0], ratios)]
+    return sorted(spans)
+
+
+def mixed_texts(n, seed):
+    import random
+
+    r = random.Random(seed)
+    piece = lambda: r.choice([
+        "".join(r.choices(LETTERS, k=r.randint(5, 60))), "_".join(r.choices(secrets.ORDINARY, k=r.randint(1, 5))), "".join(r.choices("0123456789abcdef", k=r.randint(10, 70))),
+        "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOP0123456789", k=r.randint(10, 24))), "token=" + "".join(r.choices(LETTERS, k=r.randint(3, 12))), r.choice("=/_- ,.\n"), "é😀", "=" * r.randint(1, 30),
+    ])
+    return ["".join(piece() + r.choice(["", " ", "/", "-", "=", "_", "\n"]) for _ in range(r.randint(0, 30))) for _ in range(n)]
+
+
+def test_spans_against_a_loop(spark, ratios, monkeypatch):
+    """All spans, with chunks so small that texts, runs and lists of matches are cut."""
+    texts = [*mixed_texts(250, 1), *TEXTS, "-".join("0123456789abcdef01234567" for _ in range(50)) + "/" + "kQ9zX2mV7pLw4RtB8nYc3JdF" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for chunk, text_chunk in ((secrets.CHUNK, secrets.TEXT_CHUNK), (2, 7)):
+        monkeypatch.setattr(secrets, "CHUNK", chunk)
+        monkeypatch.setattr(secrets, "TEXT_CHUNK", text_chunk)
+        for r in secrets.scan(docs, ratios).collect():
+            assert [tuple(s) for s in r["secrets"]] == all_spans(r["text"], ratios), r["text"]
+        for r in secrets.redact(docs, ratios).collect():
+            assert r["text"] == cleaned(texts[r["doc_id"]], ratios)
+
+
+def cleaned(text, ratios):
+    if text is None:
+        return None
+    out, at = "", 0
+    for s, _, e in all_spans(text, ratios):
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_ratio_against_a_loop(spark, ratios):
+    runs = [(t,) for t in ("ab", "kQ9zX2mV7pLw4RtB8nYc3JdF", "get_user_account" * 500)]
+    for r in spark.createDataFrame(runs, "t string").withColumn("x", secrets.likelihood_ratio(secrets.F.col("t"), ratios)).collect():
+        at = places(r["t"])
+        assert r["x"] == pytest.approx(sum(ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(at, at[1:], strict=False)))
+
+
+def test_a_run_and_a_text_of_a_million_characters(spark, ratios):
+    """Work that grew with the square of the length would take hours."""
+    import random
+    import time
+
+    r = random.Random(3)
+    run, many = "".join(r.choices(LETTERS + "+/", k=1_000_000)), "password = hunter22\n" * 50_000
+    start = time.monotonic()
+    rows = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string"), ratios).collect()}
+    assert sum(s["end"] - s["start"] for s in rows[1]["secrets"]) > 900_000
+    assert len(rows[2]["base"]) == 50_000 and [tuple(s) for s in rows[2]["base"][-1:]] == [(999_980, 1, 999_999)]
+    assert time.monotonic() - start < 240
+
+
 def test_hard_texts(hard, nothing, ratios):
+    rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     out = secrets.scan(hard, ratios)
-    assert out.columns == [*hard.columns, "base", "secrets"] and out.count() == hard.count()
-    assert secrets.redact(hard, ratios).columns == hard.columns
-    assert secrets.scan(nothing, ratios).collect() == []
+    assert out.columns == [*hard.columns, "base", "secrets"]
+    key = lambda xs: sorted(xs, key=repr)
+    assert key((r["doc_id"], r["text"], [tuple(s) for s in r["secrets"]]) for r in out.collect()) == key((d, t, all_spans(t, ratios)) for d, t in rows)
+    clean = secrets.redact(hard, ratios)
+    assert clean.columns == hard.columns
+    assert key((r["doc_id"], r["text"]) for r in clean.collect()) == key((d, cleaned(t, ratios)) for d, t in rows)
+    assert secrets.scan(nothing, ratios).collect() == secrets.redact(nothing, ratios).collect() == []
+
+
+def test_columns_with_the_names_of_the_operator(spark, ratios):
+    names = ["text", "base", "secrets", "clean", "row", "t", "rest", "Base_", "doc_id", "n_chars"]
+    docs = spark.createDataFrame([("password = hunter22 x", 1, "s", "c", 2, "t", 3, 4, 5, 21), (None, 1, "s", "c", 2, "t", 3, 4, 6, None)], ", ".join(f"{n} {'string' if n in ('text', 'secrets', 'clean', 't') else 'long'}" for n in names))
+    out = secrets.scan(docs, ratios)
+    assert out.columns == [*names, "base__", "secrets_"] and [len(r["secrets_"]) for r in out.orderBy("doc_id").collect()] == [1, 0]
+    assert [tuple(r) for r in secrets.redact(docs, ratios).orderBy("doc_id").collect()] == [("[SECRET] x", 1, "s", "c", 2, "t", 3, 4, 5, 10), (None, 1, "s", "c", 2, "t", 3, 4, 6, None)]
+
+
+def test_query_digests(spark, ratios):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    name = lambda xs: ",".join(f"{secrets.KINDS[k - 1]}:{s}:{e}" for s, k, e in xs)
+    for r in secrets.op3_secrets(spark, sf).collect():
+        found = base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(name(found).encode()).hexdigest() and r["spans"] == name(all_spans(texts[r["doc_id"]], ratios))
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in found) for i in (1, 2, 3)]
 
 
 def test_main_path_is_native(spark, ratios):
@@ -77,7 +209,6 @@ def glued(prefix, alphabet, n, count=200):
     return [prefix + "".join(r.choices(alphabet, k=n)) for _ in range(count)]
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 PREFIXES = ["", "AWS_SECRET_ACCESS_KEY=", "session_id=", "AUTH_SESSION_COOKIE=", "bearer-authorization=", "database_connection_string=", "config/settings/prod_"]
 
 
