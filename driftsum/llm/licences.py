@@ -8,8 +8,8 @@ texts below and the files in ``licence_texts``; a table of further licences may
 without a hint, so nothing that grows with the data is broadcast.
 
 Defined results: a null text counts as empty; a text with an empty canonical form matches nothing;
-repeated rows are scanned alike; an empty table gives an empty one; other columns are ignored. A text known by two identifiers has the first in
-order.
+a very long text is one canonical form, whole; repeated rows are scanned alike; an empty table gives an empty one; other columns,
+whatever their names, are ignored. A text known by two identifiers (a tie) has the first in order.
 """
 
 from __future__ import annotations

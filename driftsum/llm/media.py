@@ -7,7 +7,8 @@ chunk. ``decode_png`` tests every checksum, inflates, and undoes all five filter
 frequencies with their median: 64 bits as hex.
 
 Defined results: a null text counts as empty; an empty text gives one row of zeros; equal texts give
-equal values; repeated rows repeat; other columns are ignored; a damaged image raises ValueError.
+equal values; a very long text is one tall image, whole; frequencies equal to the median (ties) give bit 0; repeated rows
+repeat; an empty table gives an empty one; other columns, whatever their names, are ignored; a damaged image raises ValueError.
 """
 
 from __future__ import annotations

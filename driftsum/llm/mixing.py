@@ -9,9 +9,13 @@ however the rows are dealt out.
 
 Sources are ordered by code point, null last, and take ``weights`` in turn.
 
-Defined results: a null text has size 0; a null source is a source of its own; sources without words
-get target 0; a null doc_id is hashed as the word null, and repeated doc_ids draw alike; an empty
-table gives an empty one; other columns stay as they are.
+The table of sources, one short row for each, is numbered and summed in one task (three windows without a
+partition): meant for up to some millions of sources; the documents themselves are never gathered.
+
+Defined results: a null text has size 0, a very long one the number of all its words; a null source is a source of its own;
+sources without words get target 0; sources that tie in size over weight are filled in the order of their names; a null doc_id
+is hashed as the word null, and repeated doc_ids draw alike; an empty table gives an empty one; other columns, whatever
+their names, stay as they are in ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def uniform(key: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, source, ...) with source_size, target, rate and copies.
+    """``docs`` (doc_id, source, and no column named like those of the result) with source_size, target, rate and copies.
 
     No broadcast is forced: the number of sources is not bounded, so the planner chooses by size,
     and a hot source is split by the skew-join rule.

@@ -12,7 +12,8 @@ page_id is a response, the others are revisit records that name it.
 Defined results: null html is an empty payload; a null url gives no target URI, and control
 characters in one are percent-encoded; if a payload's smallest page_id occurs on several rows, all of these are responses; a
 null page_id is never the smallest, and rows whose payload has null page_ids only are responses;
-an empty table gives no bundle and no row; other columns are ignored.
+a very long payload is a record and a frame of its own; of equal payloads the smallest page_id decides, so ties do
+not occur; an empty table gives no bundle and no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
