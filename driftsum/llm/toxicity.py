@@ -8,12 +8,19 @@ every task. It is never larger than 2**BITS pairs.
 
 Training rows: of the labelled rows allowed by the caller, at most ``ROWS`` of each class, first
 in the order of md5(doc_id), and at most ``FEATURES`` feature occurrences in that order. This
-bound is the only sampling here; every document is scored on its whole text. The intercept is
-then moved from the sample's share of toxic rows to that of all allowed rows.
-
-Defined results: a null or empty text has no features and gets the intercept's score; without
-labelled rows every score is 0.5; null labels are ignored; a doc_id with several labels counts as
-toxic if one of them says so; repeated rows are scored alike; other columns play no part.
+bound is the only sampling here; every document is scored on its whole text. The bound is kept
+before rows go to the task that learns: a short column of counts, at most 2 * ``ROWS`` numbers, decides
+which rows are sent.
+
+The intercept is set in two steps: from the sample's share of toxic rows to that of all allowed rows, and
+then so that a score of ``THRESHOLD`` is where the F1 of scores from ``FOLDS`` models, each over the rows that
+it was not trained on, is largest (sampled rows count as many as they stand for).
+
+Defined results: a null or empty text has no features and gets the intercept's score; a very long text is
+scored whole, each distinct feature once; without labelled rows every score is 0.5; null labels are ignored;
+a doc_id with several labels counts as toxic if one of them says so; of several texts with one doc_id, the
+one whose features have the smallest hash is learnt from; repeated rows and ties are scored alike; an empty
+table gives an empty one; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,15 +32,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftsum.llm.text import mix, slices
-from driftsum.session import small_batches, table
+from driftsum.session import materialize, release, small_batches, table
 
 BITS, ROWS, FEATURES = 20, 8_000, 32_000_000
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.0, 10
-THRESHOLD = 0.7
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.0, 3
+THRESHOLD, FOLDS = 0.7, 4
 _TOKEN = re.compile(r"\w+")
 _U = np.uint64
 
@@ -94,34 +101,57 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit_rows(rows: Iterator[tuple[int, np.ndarray]], share: float) -> Model:
-    """``share``: the share of toxic rows to which the intercept is set."""
-    kept, total = [], 0
-    for label, at in rows:
-        total += len(at)
-        if total > FEATURES:
-            break
-        kept.append((label, at))
-    if not kept:
-        return Model(np.empty(0, np.int32), np.empty(0), 0.0)
+def _fit(rows: list[tuple[int, np.ndarray]], share: float) -> Model:
     ftrl = Ftrl()
     for _ in range(EPOCHS):
-        for label, at in kept:
+        for label, at in rows:
             ftrl.learn(at, label)
     w = ftrl.weights(np.arange(1 << BITS))
     index = np.flatnonzero(w).astype(np.int32)
-    own = (sum(y for y, _ in kept) + 0.5) / (len(kept) + 1)
+    own = (sum(y for y, _ in rows) + 0.5) / (len(rows) + 1)
     bias = float(ftrl.weights(np.array([1 << BITS]))[0]) + np.log(share / (1 - share)) - np.log(own / (1 - own))
     return Model(index, w[index], float(bias))
 
 
+def best_cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float | None:
+    """The number in the middle of the gap below which the F1 of ``x`` above it is largest; None if there is none of one class."""
+    if y.all() or not y.any():
+        return None
+    order = np.argsort(-x, kind="stable")
+    x, hits, found = x[order], np.cumsum((y * weight)[order]), np.cumsum(weight[order])
+    ends = np.append(x[1:] < x[:-1], True)  # equal scores stay together
+    f1 = np.where(ends, 2 * hits / (found + hits[-1]), -1.0)
+    k = int(f1.argmax())
+    return float(x[k] - 1.0 if k + 1 == len(x) else (x[k] + x[k + 1]) / 2)
+
+
+def fit_rows(rows: list[tuple[int, np.ndarray]], share: float) -> Model:
+    """``share``: the share of toxic rows to which the intercept is set before the cut is chosen."""
+    if not rows:
+        return Model(np.empty(0, np.int32), np.empty(0), 0.0)
+    model = _fit(rows, share)
+    y = np.array([label for label, _ in rows])
+    x = np.zeros(len(rows))
+    for fold in range(FOLDS):
+        others = [r for i, r in enumerate(rows) if i % FOLDS != fold]
+        if others and len(rows) > fold:
+            other = _fit(others, share)
+            dense = other.dense()
+            x[fold::FOLDS] = [other.bias + dense[at].sum() for _, at in rows[fold::FOLDS]]
+    toxic = max(y.sum(), 1)
+    # what a sampled row of each class stands for, in rows of all classes
+    weight = np.where(y == 1, share / toxic, (1 - share) / max(len(y) - y.sum(), 1))
+    cut = best_cut(x, y, weight) if len(rows) >= 2 * FOLDS else None
+    return model if cut is None else Model(model.index, model.weight, model.bias - cut + float(np.log(THRESHOLD / (1 - THRESHOLD))))
+
+
 def held_out(doc_id: str = "doc_id"):
     """The documents whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """One small task learns; what it returns to the driver is the sparse model."""
+    """One task learns from FEATURES numbers at most; what it returns to the driver is the sparse model."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -133,17 +163,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = [features(t).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["toxic", "at", "found"])
-
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "at", "text").mapInArrow(extract, "toxic int, at string, found binary")
+            out = [features(t) for t in b.column(2).to_pylist()]
+            digest = [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in out]
+            cols = [pa.array([len(x) for x in out], pa.int64()), pa.array(digest, pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["toxic", "at", "n", "digest", "found"])
+
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("toxic", "at", "text")
+    rows = materialize(rows.mapInArrow(extract, "toxic int, at string, n long, digest long, found binary"), "toxicity-features")
+    # one text for each doc_id, then running counts: 2 * ROWS short rows at most
+    sizes = rows.groupBy("at").agg(F.min(F.struct("digest", "n")).alias("x")).select("at", "x.digest", "x.n")
+    sizes = sizes.withColumn("total", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = rows.join(F.broadcast(sizes.where(F.col("total") <= FEATURES).select("at", "digest")), ["at", "digest"])
+    kept = kept.groupBy("at").agg(F.first("toxic").alias("toxic"), F.first("found").alias("found"))  # repeated rows
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = ((y, np.frombuffer(x, np.int32)) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-        m = fit_rows(pairs, share)
-        yield pa.RecordBatch.from_pydict({"index": [m.index.tobytes()], "weight": [m.weight.tobytes()], "bias": [m.bias]})
+        pairs = [(y, np.frombuffer(x, np.int32)) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        if pairs:
+            m = fit_rows(pairs, share)
+            yield pa.RecordBatch.from_pydict({"index": [m.index.tobytes()], "weight": [m.weight.tobytes()], "bias": [m.bias]})
 
-    got = rows.repartition(1).sortWithinPartitions("at", "found").mapInArrow(learn, "index binary, weight binary, bias double").collect()
+    got = kept.repartition(1).sortWithinPartitions("at").mapInArrow(learn, "index binary, weight binary, bias double").collect()
+    release(rows)
     if not got:
         return Model(np.empty(0, np.int32), np.empty(0), 0.0)
     return Model(np.frombuffer(got[0]["index"], np.int32), np.frombuffer(got[0]["weight"]), got[0]["bias"])
