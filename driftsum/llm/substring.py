@@ -8,19 +8,20 @@ shares such an aligned anchor. A window all of whose anchors occur in one docume
 repeat; around shared anchors the match is extended to all 50 words by hashing the full windows,
 and a window goes if its sequence starts in a document with a smaller doc_id.
 
-Both steps are one exchange. Documents are cut by doc_id into parts of about ``PART_BYTES`` of text.
+Both steps are one exchange. Documents are cut by (doc_id, text) into parts of about ``PART_BYTES`` of text.
 A part sends its distinct hashes with its smallest and largest doc_id, packed into one binary row
 for each hash bucket; a bucket sorts what it gets and answers each part with the hashes that
 matter to it. So a passage that a third of all documents share costs a part one entry, rows
 in the JVM are few, and a task holds one part or one bucket. Texts are shuffled once; all steps
-read that exchange.
+read that exchange. Texts too short for a window, and rows without a doc_id, skip it: nothing of them can go.
 
 Windows are told apart by 128 bits, words by 64-bit hashes.
 
-Defined results: null text has no words; documents of fewer words than a window keep them all;
-rows that repeat a doc_id are one document with several texts: they do not remove from each
-other; a null doc_id never counts as smaller and nothing of it is removed; an empty table gives an
-empty one; other columns are ignored.
+Defined results: null text has no words; documents of fewer words than a window keep them all; a very long text
+is searched whole (a part then holds that text); rows that repeat a doc_id are one document with several texts: they do
+not remove from each other; equal rows are searched once and give equal rows; of equal windows (ties) the one in the
+smallest doc_id stays; a null doc_id never counts as smaller and nothing of it is removed; an empty table gives an
+empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftsum.llm.text import window_hashes, word_hashes
-from driftsum.session import splittable, table
+from driftsum.llm.text import slices, window_hashes, word_hashes
+from driftsum.session import materialize, splittable, table
 
 WINDOW = 50
 #: A perfect difference set modulo 31.
@@ -83,15 +84,18 @@ def _reduce(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return (keys[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)) if len(first) else (keys, low, high)
 
 
-def _pack(keys: np.ndarray, low: np.ndarray, high: np.ndarray, part: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    """Rows (bucket, part, keys, low, high) of a part's distinct keys."""
+def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary column of consecutive pieces of ``data``; ``starts`` are their first elements."""
+    ends = np.append(starts, len(data)).astype(np.int64) * data.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _pack(keys: np.ndarray, low: np.ndarray, high: np.ndarray, part: int, buckets: int) -> pa.Table:
+    """Rows (bucket, part, keys, low, high) of a part's sorted distinct keys."""
     top = keys if keys.dtype.names is None else keys["low"]
-    bucket = ((top >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)  # rises with the sorted keys
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for i in range(buckets):
-        x = slice(cuts[i], cuts[i + 1])
-        if x.start < x.stop:
-            yield i, part, keys[x].tobytes(), low[x].tobytes(), high[x].tobytes()
+    bucket = ((top >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)  # rises with the sorted keys
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return pa.table([pa.array(bucket[starts]), pa.array(np.full(len(starts), part, np.int32)), *(_binary(x, starts) for x in (keys, low, high))], schema=_SENT_ARROW)
 
 
 _SENT = "bucket int, part int, keys binary, low binary, high binary"
@@ -111,13 +115,15 @@ def _answers(sent: DataFrame, kind: int, dtype, matters: Callable) -> DataFrame:
         read = lambda name, t: [np.frombuffer(x, t) for x in group.column(name).to_pylist()]
         keys, low, high = read("keys", dtype), read("low", np.int64), read("high", np.int64)
         every, least, largest = _reduce(np.concatenate(keys), np.concatenate(low), np.concatenate(high))
-        out = []
+        to, back, firsts = [], [], []
         for part, k, lo, hi in zip(parts, keys, low, high, strict=True):
             at = np.searchsorted(every, k) if k.dtype.names is None else _find(every, k)[0]
             keep = matters(lo, hi, least[at], largest[at])
             if keep.any():
-                out.append({"part": part, "kind": kind, "keys": k[keep].tobytes(), "low": least[at][keep].tobytes()})
-        return pa.Table.from_pylist(out, _BACK_ARROW)
+                to.append(part)
+                back.append(k[keep].tobytes())
+                firsts.append(least[at][keep].tobytes())
+        return pa.table([pa.array(to, pa.int32()), pa.array([kind] * len(to), pa.int32()), pa.array(back, pa.binary()), pa.array(firsts, pa.binary())], schema=_BACK_ARROW)
 
     return sent.groupBy("bucket").applyInArrow(run, _BACK)
 
@@ -144,14 +150,23 @@ def _gather(table_: pa.Table, kind: int, dtype) -> tuple[np.ndarray, np.ndarray]
     return keys[order], low[order]
 
 
-def _documents(group: pa.Table, copies: dict[int, str]) -> Iterator[tuple[int | None, list[bytes], bool]]:
-    """doc_id, words, and whether the text is a copy of one with a smaller doc_id."""
-    for batch in group.select(["doc_id", "text"]).to_batches(max_chunksize=64):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            copy = doc in copies and hashlib.md5((text or "").encode(), usedforsecurity=False).hexdigest() in copies[doc]
-            yield doc, words_of(text), copy
+def _documents(group: pa.Table, copies: dict[int, str]) -> Iterator[tuple[int, list[bytes], bool, int]]:
+    """doc_id, words, whether the text is a copy of one with a smaller doc_id, and how many rows it stands for."""
+    for batch in group.select(["doc_id", "text", "times"]).to_batches(max_chunksize=64):
+        for doc, text, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            copy = doc in copies and hashlib.md5(text.encode(), usedforsecurity=False).hexdigest() in copies[doc]
+            yield doc, words_of(text), copy, times
+
 
+def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_words, n_removed and kept of rows of which nothing can go."""
+    for b in slices(batches):
+        words = [words_of(t) for t in b.column(1).to_pylist()]
+        n, kept = pa.array([len(w) for w in words], pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(np.zeros(len(words), np.int64)), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
+
+_OUT = "doc_id long, n_words long, n_removed long, kept string"
 _PAIR = np.dtype([("low", "u8"), ("high", "u8")])
 
 
@@ -163,19 +178,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
     if window <= PERIOD:
         raise ValueError(f"the window must have more than {PERIOD} words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    possible = F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) >= 2 * window - 1)
+    others, rows = rows.where(~possible).mapInArrow(_untouched, _OUT), rows.where(possible).withColumn("times", F.lit(1).cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     # a bucket holds what a few parts send; more buckets than that would only make rows of few hashes
     buckets = min(parts, 256 + parts // 4)
+    digest = F.md5("text")
+    keyed = rows.groupBy("doc_id", digest.alias("digest")).agg(F.count(F.lit(1)).alias("times"))
+    keyed = materialize(keyed, "substring-texts")
+    again = keyed.where("times > 1")
+    if not again.isEmpty():  # equal rows: one stands for all
+        found = rows.drop("times").withColumn("digest", digest)
+        one = found.join(splittable(again, "doc_id", "digest"), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("times").alias("times"))
+        rows = found.join(again, ["doc_id", "digest"], "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("times")).unionAll(one.select("doc_id", "text", "times"))
     # equal texts: only the one with the smallest doc_id takes part in the search
-    keyed = rows.where(F.octet_length("text") > 0).select("doc_id", F.md5("text").alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    part = lambda text: F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), text)), F.lit(parts)).cast("int")
-    copies = keyed.join(splittable(first, "digest"), "digest").where("doc_id > first").select(part(F.lit(None).cast("string")).alias("part"), F.concat_ws(":", "doc_id", "digest").alias("id"))
+    part = lambda digest: F.pmod(F.xxhash64("doc_id", digest), F.lit(parts)).cast("int")
+    copies = keyed.join(splittable(first, "digest"), "digest").where("doc_id > first").select(part(F.col("digest")).alias("part"), F.concat_ws(":", "doc_id", "digest").alias("id"))
     # packed by part, in the layout of the answers: kind 0 has the doc_ids and text digests of copies
     copies = copies.groupBy("part").agg(F.concat_ws(",", F.collect_set("id")).cast("binary").alias("keys"))
     copies = copies.select("part", F.lit(0).alias("kind"), "keys", F.lit(b"").alias("low"))
-    texts = rows.select(part(F.col("text")).alias("part"), "doc_id", "text")
+    texts = rows.select(part(digest).alias("part"), "doc_id", "text", "times")
 
     def copy_ids(back: pa.Table) -> dict[int, str]:
         found = b"".join(k for kind, k in zip(back.column("kind").to_pylist(), back.column("keys").to_pylist(), strict=True) if kind == 0)
@@ -188,15 +212,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
     def send(part: int, keys: list[np.ndarray], ids: list[int], dtype) -> pa.Table:
         sizes = [*map(len, keys)]
         doc = np.repeat(np.array(ids, np.int64), sizes)
-        packed = _reduce(np.concatenate(keys) if keys else np.empty(0, dtype), doc, doc)
-        return pa.Table.from_pylist([dict(zip(_SENT_ARROW.names, r, strict=True)) for r in _pack(*packed, part, buckets)], _SENT_ARROW)
+        if not keys:
+            return _SENT_ARROW.empty_table()
+        return _pack(*_reduce(np.concatenate(keys), doc, doc), part, buckets)
 
     def send_anchors(texts_: pa.Table, back: pa.Table) -> pa.Table:
         if not texts_.num_rows:
             return _SENT_ARROW.empty_table()
         skip, keys, ids = copy_ids(back), [], []
-        for doc, words, copy in _documents(texts_, skip):
-            if doc is not None and not copy and len(words) >= window:
+        for doc, words, copy, _ in _documents(texts_, skip):
+            if not copy and len(words) >= window:
                 keys.append(np.unique(anchors(word_hashes(words), window)[1]))
                 ids.append(doc)
         return send(texts_.column("part")[0].as_py(), keys, ids, np.uint64)
@@ -217,8 +242,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
         if not texts_.num_rows:
             return _SENT_ARROW.empty_table()
         skip, shared, keys, ids = copy_ids(back), _gather(back, 1, np.uint64)[0], [], []
-        for doc, words, copy in _documents(texts_, skip):
-            if doc is not None and not copy and len(words) >= window:
+        for doc, words, copy, _ in _documents(texts_, skip):
+            if not copy and len(words) >= window:
                 found = candidates(words, shared)[1]
                 if len(found):
                     keys.append(found)
@@ -226,11 +251,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
         return send(texts_.column("part")[0].as_py(), keys, ids, _PAIR)
 
     def cut(texts_: pa.Table, back: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
+        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "times": []}
         skip, shared, (known, least) = copy_ids(back), _gather(back, 1, np.uint64)[0], _gather(back, 2, _PAIR)
-        for doc, words, copy in _documents(texts_, skip) if texts_.num_rows else ():
+        for doc, words, copy, times in _documents(texts_, skip) if texts_.num_rows else ():
             gone = np.zeros(len(words), bool)
-            if doc is not None and len(words) >= window:
+            if len(words) >= window:
                 if copy:
                     gone[:] = True
                 elif len(known):
@@ -242,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
                     np.add.at(edge, start + window, -1)
                     gone = np.cumsum(edge[:-1]) > 0
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-            for name, x in zip(out, (doc, len(words), len(words) - len(kept), b" ".join(kept).decode()), strict=True):
+            for name, x in zip(out, (doc, len(words), len(words) - len(kept), b" ".join(kept).decode(), times), strict=True):
                 out[name].append(x)
         return pa.table({k: pa.array(v, pa.string() if k == "kept" else pa.int64()) for k, v in out.items()})
 
@@ -251,7 +276,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
 
     one = _answers(together(copies, send_anchors, _SENT), 1, np.uint64, lambda lo, hi, least, largest: least < largest)
     two = _answers(together(copies.unionAll(one), send_windows, _SENT), 2, _PAIR, lambda lo, hi, least, largest: hi > least)
-    return together(copies.unionAll(one).unionAll(two), cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = together(copies.unionAll(one).unionAll(two), cut, f"{_OUT}, times long")
+    if not again.isEmpty():
+        out = out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return out.drop("times").unionAll(others)
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,20 @@ def test_find_among_equal_lower_halves():
     every = np.array([(1, 1), (1, 5), (1, 9), (2, 0)], pair)
     at, there = substring._find(every, np.array([(1, 5), (1, 6), (2, 0), (3, 0), (1, 1)], pair))
     assert there.tolist() == [True, False, True, False, True] and at[0] == 1 and at[2] == 3
+
+
+def test_empty_rows_are_dealt_out(spark):
+    """They stay in the partitions of the input: no exchange gathers them."""
+    docs = spark.range(200_000, numPartitions=8).selectExpr("id AS doc_id", "'' AS text").unionAll(spark.createDataFrame([(-1, "a b c")], "doc_id long, text string"))
+    from pyspark.sql import functions as F
+
+    rows = substring.remove_repeats(docs).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("n_words").alias("w")).collect()
+    assert sum(r["n"] for r in rows) == 200_001 and max(r["n"] for r in rows) <= 50_000 and sum(r["w"] for r in rows) == 3
+
+
+def test_equal_rows_and_one_id_with_many_texts(spark):
+    r = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(5, passage + " tail")] * 40 + [(5, f"h{i} " + passage) for i in range(30)] + [(3, f"{passage} three")] + [(7, passage)] * 6 + [(None, passage)] * 3 + [(9, " ".join(f"q{r.randrange(9)}" for _ in range(80)))] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(substring.remove_repeats(docs, part_bytes=2000)) == brute(rows, 50)
