@@ -18,9 +18,9 @@ pair was tested. Buckets and clusters of any size are cut into units of bounded
 told apart by 64-bit hashes.
 
 Defined results: null text, and text without words, is an empty set, linked with nothing; fewer
-words than a shingle has form one shingle; a null doc_id links nothing and its row stays; rows that
-repeat a doc_id stand for the same node; an empty table gives an empty one; other columns are
-ignored.
+words than a shingle has form one shingle; a very long text is one set, whole; a null doc_id links nothing and its row stays; rows that
+repeat a doc_id stand for the same node; of equal texts (ties) the smallest doc_id stands for all; an empty table gives
+an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
 WORDS, PERCENT = 5, 80  # five words, similarity 0.8
 BLOCK, CLUSTER = 2048, 256
+SET_BYTES = 64 << 20  # of the shingle sets that a unit of a cluster holds; one larger set is a unit
 SIGMAS = 5.0
 _U = np.uint64
 _REST = 57  # bits left of a hash after the choice of one of 128 buckets
@@ -258,17 +259,18 @@ class _Minor:
                         yield node, node_b
 
 
-def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components (label) of one cluster, as many as join what is linked.
+def _units(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cluster, i, j, role, node, label, text): the units of work of clusters.
 
     In clusters of three documents or more that still hold several components, the members outside the
     largest one (minor) meet all members. Both are cut into parts of about CLUSTER; a pair of parts is
-    one unit of work: its minor part is held, the other one streams past.
+    one unit of work: its minor part, of about SET_BYTES at most, is held, the other one streams past.
     """
-    by = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
-    by = by.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("labels"))
+    by = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    by = by.groupBy("cluster").agg(F.max(F.struct("c", "label", "n")).alias("top"), F.sum("c").alias("size"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
     by = by.where("labels > 1 and size > 2")
-    by = by.select("cluster", F.col("top.label").alias("top"), F.ceil(F.col("size") / CLUSTER).alias("wide"), F.ceil((F.col("size") - F.col("top.c")) / CLUSTER).alias("tall"))
+    tall = F.greatest(F.ceil((F.col("size") - F.col("top.c")) / CLUSTER), F.ceil((F.col("n") - F.col("top.n")) * 8 / SET_BYTES))
+    by = by.select("cluster", F.col("top.label").alias("top"), F.ceil(F.col("size") / CLUSTER).alias("wide"), tall.alias("tall"))
     rows = members.join(splittable(by, "cluster"), "cluster").withColumn("h", F.xxhash64("node"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     everyone = rows.select("*", F.pmod("h", F.col("wide")).alias("j"), numbers("tall").alias("i"), F.lit(1).alias("role"))
@@ -276,7 +278,11 @@ def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: in
     names = ["cluster", "i", "j", "role", "node", "label"]
     units = everyone.select(*names).unionAll(minor.select(*names))
     units = texts.withColumnRenamed("doc_id", "node").hint("merge").join(units, "node").select(*names, "text")
-    units = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "role")
+    return units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "role")
+
+
+def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components (label) of one cluster, as many as join what is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, _Minor(words, percent)
@@ -293,7 +299,7 @@ def _verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: in
                     found += part.meet(docs)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return _units(members, texts).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -322,7 +328,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = clusters.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     edges = materialize(_verify_stars(stars, texts, words, percent), "minhash-edges", total)
     labels = components(edges, total).select("node", F.col("root").alias("label"))
-    members = clusters.join(labels, "node", "left").select("node", F.col("root").alias("cluster"), F.coalesce("label", "node").alias("label"))
+    members = clusters.join(labels, "node", "left").join(nodes.select("node", "n"), "node")
+    members = members.select("node", "n", F.col("root").alias("cluster"), F.coalesce("label", "node").alias("label"))
     more = materialize(_verify_blocks(materialize(members, "minhash-members", total), texts, words, percent), "minhash-edges", total)
     roots = components(edges.unionAll(more), 2 * total)
     release(shared, texts, nodes)

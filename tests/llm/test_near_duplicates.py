@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftsum.llm import components, minhash
 from driftsum.llm.text import shingle_hashes, word_hashes
@@ -67,6 +68,24 @@ def test_random_families_with_small_units(spark, monkeypatch):
     assert found(minhash.near_duplicates(docs, 3, 85)) == sorted(brute(rows, 3, 85), key=repr)
 
 
+def test_units_hold_a_bounded_number_of_bytes(spark, monkeypatch):
+    """Long texts in one cluster: the held part of a unit is cut by the bytes of its sets, and links are not lost."""
+    monkeypatch.setattr(minhash, "SET_BYTES", 8 * 3000)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(1500)]
+    rows = []
+    for i in range(24):  # a chain: neighbours are alike, the ends are not
+        rows.append((100 - i, " ".join(base)))
+        for j in range(20):
+            base[(i * 60 + j * 3) % 1500] = f"e{r.randrange(10**9)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(minhash.near_duplicates(docs, 3, 85)) == sorted(brute(rows, 3, 85), key=repr)
+    members = spark.createDataFrame([(i, 1500, 1, i) for i in range(24)], "node long, n long, cluster long, label long")
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    held = [u["n"] for u in minhash._units(members, texts).where("role = 0").select("i", "node").distinct().groupBy("i").agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 23 and len(held) >= 6 and max(held) <= 8
+
+
 def test_stage_keeps_one_of_each_group(spark, hard):
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     keep = {c for doc, _, c in brute(rows, 5, 80) if doc is not None}
