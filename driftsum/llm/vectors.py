@@ -14,8 +14,10 @@ of more than ``UNIT`` rows are cut by hash, and each pair of cuts is a unit, so
 however many vectors an interval holds.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components link
-with nothing; so do vectors of different lengths; rows that repeat a vec_id are vectors of their own
-with links of their own that share one component; a row with a null vec_id links with nothing and has no component; an empty table gives an empty one; other columns are ignored.
+with nothing (nor do those whose squared norm is not a finite positive number in double precision); so do vectors of different lengths;
+very long vectors have more blocks; equal vectors (ties) are linked with each other; rows that repeat a vec_id are vectors of their own
+with links of their own that share one component; a row with a null vec_id links with nothing and has no component; an empty table gives
+an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -64,15 +66,17 @@ def read_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for v in b.column(1).to_pylist():
-                x = np.array(v if v is not None and None not in v else [], np.float64) + 0.0  # no negative zero
-                ok = len(x) > 0 and np.isfinite(x).all() and 0 < float(x @ x) < np.inf
-                raw = x.tobytes() if ok else b""
-                d = xxhash.xxh3_128_digest(raw)
-                for part, value in zip(out, (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), raw), strict=True):
-                    part.append(value if ok else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True))], ["vec_id", "h1", "h2", "vec"])
+            v = b.column(1)
+            n = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # nulls become NaN; no negative zero
+            ends, row = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+            with np.errstate(over="ignore", invalid="ignore"):
+                square = np.bincount(row, flat * flat, len(n))  # not finite if a component is not
+            ok = (n > 0) & np.isfinite(square) & (square > 0)
+            raw = [flat[e - m : e].tobytes() if good else None for e, m, good in zip(ends.tolist(), n.tolist(), ok.tolist(), strict=True)]
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x or b"") for x in raw), "<i8").reshape(-1, 2)
+            cols = [pa.array(halves[:, i], pa.int64(), mask=~ok) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(raw, pa.binary())], ["vec_id", "h1", "h2", "vec"])
 
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>"))
     return rows.mapInArrow(run, "vec_id long, h1 long, h2 long, vec binary")
