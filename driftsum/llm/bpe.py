@@ -11,13 +11,15 @@ time is linear in the piece.
 The decoder copies bytes out of one blob of all tokens by an offset table.
 
 Defined results: a null text counts as empty; an empty text has no ids (digest of no bytes) and
-decodes to the empty text; repeated rows give repeated rows; an empty table gives an empty one;
+decodes to the empty text; a very long text is encoded whole, in linear time; of merges of equal rank (ties) the leftmost comes
+first, as in the library; repeated rows give repeated rows; an empty table gives an empty one;
 other columns are ignored. Memory: a worker holds the tables and a piece cache of at most
 ``CACHE`` entries of at most ``CACHE_PIECE`` characters, which is emptied when full.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
@@ -224,12 +226,11 @@ def default_vocabulary() -> str:
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids binary): the ids of each text as little-endian unsigned 32-bit integers.
 
-    ``path`` names a vocabulary file that every node has.
+    ``path`` names a vocabulary file that every node has; without one, each task asks its own node for the default's place.
     """
-    path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path or default_vocabulary())
         for b in slices(batches):
             out = [bpe.encode(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["key", "ids"])
@@ -241,10 +242,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
 def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, ids binary, text string): the texts of binary ids; null ids count as none."""
-    path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = decoder(path)
+        bpe = decoder(path or default_vocabulary())
         for b in slices(batches):
             out = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["key", "ids", "text"])
@@ -268,10 +268,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: doc_id, source, n_tokens and the ids of every document it is given."""
-    from pyspark.sql import functions as F
-
-    out = encode_documents(docs)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """The last stage: doc_id, n_tokens, the ids, and the SHA-256 of what they decode to, of every document it is given.
 
+    Ids that do not give their text back end the job.
+    """
+    from pyspark.sql import functions as F
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = default_vocabulary()
+        encode, decode = encoder(place).encode, decoder(place).decode
+        for b in slices(batches):
+            ids, digests = [], []
+            for t in b.column(1).to_pylist():
+                found = encode(t or "")
+                back = decode(found)
+                if back != (t or ""):
+                    raise ValueError("the ids of a text do not decode to it")
+                ids.append(found.tobytes())
+                digests.append(hashlib.sha256(back.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(digests, pa.string())], ["doc_id", "ids", "decoded_sha256"])
+
+    small_batches(spark)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded_sha256 string")
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
