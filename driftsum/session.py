@@ -43,9 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, read from the session."""
+    """The folder in ``spark.checkpoint.dir``, read from the session; without one, a local folder if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = f"file://{tempfile.mkdtemp(prefix='driftsum-checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,6 +90,40 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    system, folder = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, file = _file_system(spark, path)
+    stream = system.open(file)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: it is written under another name first."""
+    system, file = _file_system(spark, path)
+    _, other = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = system.create(other, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    system.delete(file, False)
+    if not system.rename(other, file):
+        raise OSError(f"cannot write {path}")
+
+
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage durably.
 

@@ -31,18 +31,17 @@ def parse_ops(lines: DataFrame, dims: int, n: int | None = None) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line) of a text file or folder without comments and empty lines, numbered from 0 in file order.
+    """(seq, line) of a text file or folder without comments and empty lines, numbered from 0 by path, then by place in the file.
 
-    Spark forms partitions by path and offset; the rows of each are counted, and the counts before a
-    partition (one number for each) are added to the places inside it.
+    A partition may hold several pieces of files in any order, so each piece (path and offset, which the scan tells) is
+    counted by itself; the counts of the pieces before it (one number for each) are added to the places inside it.
     """
     rows = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
-    rows = rows.select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    rows = rows.withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND((1 << 33) - 1)})
-    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(counts, "part").select((F.col("before") + F.col("at")).alias("seq"), "line")
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    pieces = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(pieces, ["file", "block"]).select((F.col("shift") + F.col("id")).alias("seq"), "line")
 
 
 def read_ops(spark: SparkSession, path: str, dims: int, n: int | None = None) -> DataFrame:
