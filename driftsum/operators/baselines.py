@@ -8,34 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftsum.functions.geometry import sq_dist_to
+from driftsum.operators import small
 from driftsum.operators.coreset import proportional_summary, summarize, uniform_summary
-from driftsum.operators.kmeans import kmeans
-from driftsum.session import materialize
+from driftsum.operators.kmeans import ROUNDS, TOLERANCE, kmeans
 
 MOST_MEDOID_POINTS, MOST_POINTS = 12, 8
 
 
-def _numbered_summary(summary: DataFrame) -> DataFrame:
+def numbered_summary(summary: DataFrame) -> DataFrame:
     """A summary as points: ids are draw numbers, and after them the centres by cluster."""
     key = F.coalesce("draw_no", F.lit(1 << 40) + F.col("cluster_id")).cast("long")
-    return materialize(summary.select(key.alias("point_id"), "weight", "coords"), "summary")
+    return summary.select(key.alias("point_id"), "weight", "coords")
 
 
-def kmeans_full(points: DataFrame, k: int, seed: int, rounds: int) -> list[tuple[int, list[float]]]:
-    return kmeans(points, k, seed, rounds)
+def kmeans_full(points: DataFrame, k: int, seed: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[tuple[int, list[float]]]:
+    """The solution on the whole table."""
+    return kmeans(points, k, seed, rounds, tolerance)
 
 
-def kmeans_static(points: DataFrame, k: int, draws: int, seed: int, rounds: int, dims: int) -> list[tuple[int, list[float]]]:
-    return kmeans(_numbered_summary(summarize(points, k, draws, seed, dims, weighted=False)), k, seed, rounds)
+def kmeans_summary(points: DataFrame, k: int, draws: int, seed: int, dims: int, weighted: bool = True, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[tuple[int, list[float]]]:
+    """The solution on a summary by sensitivity; ``weighted`` false is the static form."""
+    return small.kmeans(numbered_summary(summarize(points, k, draws, seed, dims, weighted)), k, seed, rounds, tolerance)
 
 
-def kmeans_summary(points: DataFrame, k: int, draws: int, seed: int, rounds: int, dims: int) -> list[tuple[int, list[float]]]:
-    return kmeans(_numbered_summary(summarize(points, k, draws, seed, dims)), k, seed, rounds)
-
-
-def kmeans_random(points: DataFrame, k: int, m: int, seed: int, rounds: int, proportional: bool = False) -> list[tuple[int, list[float]]]:
+def kmeans_random(points: DataFrame, k: int, m: int, seed: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE, proportional: bool = False) -> list[tuple[int, list[float]]]:
+    """The solution on draws, all points alike or by weight."""
     draws = proportional_summary(points, m, seed, 1) if proportional else uniform_summary(points, m, seed)
-    return kmeans(materialize(draws.select(F.col("draw_no").alias("point_id"), "weight", "coords"), "summary"), k, seed, rounds)
+    return small.kmeans(draws.select(F.col("draw_no").alias("point_id"), "weight", "coords"), k, seed, rounds, tolerance)
 
 
 def _few(points: DataFrame, most: int) -> list:

@@ -26,11 +26,6 @@ def summary_size(eps: float, lam: float, k: int, dims: int, fixed: int = 0) -> i
     return int(5 / eps**2 * (k * dims + log(1 / lam)))
 
 
-def first_rows(size: int, candidates: range = range(10, 50_001, 10)) -> int:
-    """The smallest candidate n with size < n < 4 * size; -1 if there is none."""
-    return next((n for n in candidates if size < n < 4 * size), -1)
-
-
 def centre_weights(assigned: DataFrame, drawn: DataFrame) -> DataFrame:
     """(cluster_id, total, drawn, weight) of each cluster: weight = max(0, total - drawn)."""
     totals = assigned.groupBy("cluster_id").agg(F.sum("weight").alias("total"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from driftsum.functions import rng
 from driftsum.operators.sampling import bucket
+from driftsum.operators.small import uniform
+from driftsum.session import materialize
 
+PIECE = 100_000  # operations of a log that are given away at once
 #: Days before each month of a leap year, kept for all years.
 DAYS_BEFORE = (0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335)
 
@@ -65,6 +68,20 @@ def numbered(points: DataFrame, key: str = "point_id") -> DataFrame:
     return rows.join(F.broadcast(sizes), "bucket").withColumn("at", F.col("_before") + F.col("_n") - 1).drop("bucket", "_n", "_before")
 
 
+def ranked(points: DataFrame, key: str = "point_id") -> DataFrame:
+    """``points`` with ``at``, their position in the order of ``key``.
+
+    They are sorted by ranges and written, so that positions inside a partition and the counts of the partitions before it
+    (one number for each) belong to one and the same sort.
+    """
+    rows = materialize(points.orderBy(key).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(sizes, "_part").withColumn("at", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_before")
+
+
 def sliding_window(points: DataFrame, window: int, p: float, seed: int) -> DataFrame:
     """(seq, point_id, op, weight, coords): insert window + 1 points; then each step inserts the next one if its coin is below p, else deletes the oldest; it ends with the source or an empty window.
 
@@ -72,7 +89,7 @@ def sliding_window(points: DataFrame, window: int, p: float, seed: int) -> DataF
     source. Steps are numbered by blocks with offsets, so the coins are not sorted in one task.
     """
     spark = points.sparkSession
-    source = numbered(points)
+    source = ranked(points)
     n = points.count()
     steps = spark.range(2 * n + 2).select(F.col("id").alias("t"), (rng.uniform(seed, "coin", F.col("id")) < p).cast("int").alias("ins"))
     block = 4096
@@ -96,61 +113,54 @@ def sliding_window(points: DataFrame, window: int, p: float, seed: int) -> DataF
 def _random_victims(points: DataFrame, seed: int, plan) -> DataFrame:
     """A log in which deletes hit random live points.
 
-    Which point is alive depends on all steps before, so the log of positions is made in one task; it holds
-    positions only, and the points are joined to it afterwards.
+    Which point is alive depends on all steps before, so the log of positions is made in one task, which holds the positions of
+    the live points and gives the log away in pieces; the points are joined to it afterwards. Step t uses the
+    numbers of t: a coin, and a victim's place in the list, whose last entry then takes that place.
     """
     spark = points.sparkSession
     n = points.count()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import random
-
         for batch in batches:
             for _ in range(len(batch)):
-                draw = random.Random(seed)
                 live: list[int] = []
                 log: list[tuple[int, int, int]] = []
-                state = {"next": 0}
-
-                def insert() -> bool:
-                    if state["next"] >= n:
-                        return False
-                    live.append(state["next"])
-                    log.append((len(log), state["next"], 1))
-                    state["next"] += 1
-                    return True
-
-                def delete() -> bool:
-                    if not live:
-                        return False
-                    i = draw.randrange(len(live))
-                    live[i], live[-1] = live[-1], live[i]
-                    log.append((len(log), live.pop(), 0))
-                    return True
-
-                plan(insert, delete, draw, live)
+                step = following = 0
+                for insert in plan(live, lambda: uniform(seed, "coin", step)):  # noqa: B023
+                    if insert:
+                        if following >= n:
+                            break
+                        live.append(following)
+                        log.append((step, following, 1))
+                        following += 1
+                    else:
+                        if not live:
+                            break
+                        i = int(uniform(seed, "victim", step) * len(live))
+                        live[i], live[-1] = live[-1], live[i]
+                        log.append((step, live.pop(), 0))
+                    step += 1
+                    if len(log) == PIECE:
+                        yield pd.DataFrame(log, columns=["seq", "at", "op"])
+                        log = []
                 yield pd.DataFrame(log, columns=["seq", "at", "op"])
 
     log = spark.range(1, numPartitions=1).mapInPandas(run, "seq long, at long, op int")
-    return log.join(numbered(points), "at").select("seq", "point_id", "op", "weight", "coords")
+    return log.join(ranked(points), "at").select("seq", "point_id", "op", "weight", "coords")
 
 
 def constant_window(points: DataFrame, window: int, total: int, p: float, seed: int, steps: int = 5000) -> DataFrame:
     """Grow with random victims until ``total`` points live, then ``steps`` strictly alternating steps, then ``steps`` that insert when the coin is at least p."""
 
-    def plan(insert, delete, draw, live) -> None:
+    def plan(live, coin) -> Iterator[bool]:
         for _ in range(window + 1):
-            if not insert():
-                return
+            yield True
         while len(live) <= total:
-            if not (insert() if draw.random() < p else delete()):
-                return
+            yield coin() < p
         for i in range(steps):
-            if not (insert() if i % 2 == 0 else delete()):
-                return
+            yield i % 2 == 0
         for _ in range(steps):
-            if not (insert() if draw.random() >= p else delete()):
-                return
+            yield coin() >= p
 
     return _random_victims(points, seed, plan)
 
@@ -158,16 +168,13 @@ def constant_window(points: DataFrame, window: int, total: int, p: float, seed:
 def snake_window(points: DataFrame, window: int, seed: int, p: float = 0.9, low: float = 0.2) -> DataFrame:
     """Shrink to ``low`` * window and grow back to window, again and again, with random victims."""
 
-    def plan(insert, delete, draw, live) -> None:
+    def plan(live, coin) -> Iterator[bool]:
         for _ in range(window + 1):
-            if not insert():
-                return
-        while True:
+            yield True
+        while low < 1 and window > 0:
             while len(live) > low * window:
-                if not (delete() if draw.random() < p else insert()):
-                    return
+                yield coin() >= p
             while len(live) < window:
-                if not (insert() if draw.random() < p else delete()):
-                    return
+                yield coin() < p
 
     return _random_victims(points, seed, plan)

@@ -1,7 +1,8 @@
 """Weighted and uniform sampling with reproducible draws.
 
-Points are ordered by (bucket, point_id) with bucket = point_id mod BUCKETS, so prefix sums are
-windows inside buckets plus offsets over BUCKETS totals: no step sorts the whole table in one task; the totals are 65,536 rows at most.
+Points are ordered by (bucket, point_id); the bucket is made from the id by MD5, so prefix sums are windows inside buckets of
+about equal size plus offsets over BUCKETS totals, whatever the ids look like: no step sorts the whole table in one
+task, and the totals are 65,536 rows at most. Draws look only into the buckets that they hit.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftsum.functions import rng
+from driftsum.session import materialize
 
 BUCKETS = 1 << 16
 CELLS = 1 << 12
 
 
 def bucket(key: Column) -> Column:
-    return F.pmod(key, F.lit(BUCKETS)).cast("int")
+    """The first 16 bits of the MD5 digest of the key's text."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int")
 
 
 def prefix_sums(points: DataFrame, weight: Column, key: str = "point_id") -> DataFrame:
@@ -62,8 +65,8 @@ def pick(points: DataFrame, weight: Column, u: float, key: str = "point_id") ->
 def weighted_sample(points: DataFrame, weight: Column, k: int, seed: int, tag: str = "draw", key: str = "point_id") -> DataFrame:
     """k draws with replacement by weight: the rows of ``points`` with draw_no.
 
-    Both steps are equi-joins: the unit interval is cut into CELLS, a bucket lists the cells that it touches,
-    and a draw finds its bucket in its own cell, then its point in that bucket.
+    The unit interval is cut into CELLS, a bucket lists the cells that it touches, and a draw finds its bucket in its
+    own cell by an equi-join. Then only the points of drawn buckets (k at most) are ordered and summed up.
     """
     spark = points.sparkSession
     totals = bucket_totals(points, weight, key).where("total > 0 and everything > 0")
@@ -73,9 +76,23 @@ def weighted_sample(points: DataFrame, weight: Column, k: int, seed: int, tag: s
     totals = totals.withColumn("cell", F.explode(F.sequence(touched(F.col("offset")) - 1, touched(end) + 1)))
     draws = spark.range(k).select(F.col("id").alias("draw_no"), rng.uniform(seed, tag, F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("long"))
     at = F.col("u") * F.col("everything")
-    draws = draws.join(F.broadcast(totals), "cell").where((at >= F.col("offset")) & (at < end)).select("draw_no", "bucket", at.alias("at"))
-    rows = prefix_sums(points, weight, key)
-    return rows.join(draws, "bucket").where("at >= lo and at < hi").drop("bucket", "lo", "hi", "at")
+    draws = draws.join(F.broadcast(totals), "cell").where((at >= F.col("offset")) & (at < end)).select("draw_no", "bucket", at.alias("at"), "offset")
+    draws = materialize(draws, "draws", k)
+    # the buckets that draws hit: BUCKETS rows at most
+    rows = points.withColumn("bucket", bucket(F.col(key))).join(F.broadcast(draws.select("bucket").distinct()), "bucket", "left_semi")
+    inside = Window.partitionBy("bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_w", weight).withColumn("_hi", F.sum("_w").over(inside))
+    hit = (F.col("at") >= F.col("offset") + F.col("_hi") - F.col("_w")) & (F.col("at") < F.col("offset") + F.col("_hi"))
+    return rows.join(draws, "bucket").where(hit).drop("bucket", "at", "offset", "_w", "_hi")
+
+
+def merged_totals(totals: DataFrame, added: DataFrame, removed: DataFrame, weight: Column, key: str = "point_id") -> DataFrame:
+    """(bucket, total): the sums of a sampling structure after points were added and removed; what the totals held before is not read again."""
+    parts = [totals.select("bucket", "total")]
+    for points, sign in ((added, 1), (removed, -1)):
+        parts.append(points.groupBy(bucket(F.col(key)).alias("bucket")).agg((sign * F.sum(weight)).alias("total")))
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("bucket").agg(F.sum("total").alias("total"))
+    return rows.where("total > 0")
 
 
 def uniform_sample(points: DataFrame, m: int, seed: int, tag: str = "uniform", key: str = "point_id") -> DataFrame:
