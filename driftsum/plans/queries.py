@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsum.functions import geometry, rng
-from driftsum.operators import baselines, clustering, coreset, generators, grid_seeding, kmeans, metrics, replay, sampling, tree
+from driftsum.operators import baselines, clustering, coreset, generators, grid_seeding, kmeans, metrics, replay, sampling, small, tree
 from driftsum.plans import sql as q
 from driftsum.session import materialize, scratch_path, table
 from driftsum.sources import oplog
 from driftsum.sources.points import ops_events, pts_emb, pts_line, pts_nation, pts_orders, pts_region, spread
 from driftsum.streaming import maintain
 
-SEED, K, DRAWS, ROUNDS = 7, 4, 200, 3
+SEED, K, DRAWS = 7, 4, 200
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 Q = lambda x: F.round(x, 4)
@@ -61,9 +61,12 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", line.alias("line")).unionAll(comment)
 
 
-@query(q.with_(EVENTS) + "SELECT seq, point_id, op::INTEGER AS op, weight, x0, x1 FROM ops_events")
+@query(q.with_(EVENTS) + "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, point_id, op::INTEGER AS op, weight, x0, x1 FROM ops_events")
 def ops_scan(spark, sf_dir):
-    return spread(oplog.parse_ops(_log_lines(spark, sf_dir), 2), 2, "seq", "point_id", "op", "weight")
+    """The log as the files of a folder, read back in order."""
+    path = scratch_path(spark, "log-text")
+    _log_lines(spark, sf_dir).orderBy("seq", "line").select("line").write.text(path)
+    return spread(oplog.read_ops(spark, path, 2), 2, "seq", "point_id", "op", "weight")
 
 
 @query("SELECT vec_id AS seq, (label + 1)::INTEGER AS label FROM embeddings")
@@ -93,7 +96,7 @@ WINDOW, P = 500, 0.6
 @query(
     q.with_(
         "pts AS (SELECT o_orderkey AS point_id FROM orders)",
-        "src AS (SELECT point_id, row_number() OVER (ORDER BY point_id % 65536, point_id) - 1 AS place FROM pts)",
+        "src AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS place FROM pts)",
         "n AS (SELECT count(*) AS n, least(501, count(*)) AS first FROM pts)",
         f"coins AS (SELECT t, ins, sum(ins) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS up, sum(1 - ins) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS down FROM (SELECT t, CASE WHEN {q.u(SEED, 'coin', 't')} < 0.6 THEN 1 ELSE 0 END AS ins FROM (SELECT unnest(range(2 * n + 2)) AS t FROM n)))",
         "stop_ AS (SELECT min(t) AS t FROM coins, n WHERE up + first > n OR up + first - down <= 0)",
@@ -106,14 +109,18 @@ def win_sliding(spark, sf_dir):
     return generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED).select("seq", "point_id", F.col("op").cast("int").alias("op"))
 
 
-@query()
+_SOURCE = "src AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS place FROM pts_orders)"
+_LOG = "SELECT seq::BIGINT AS seq, point_id, op::INTEGER AS op, weight, x0, x1 FROM log_ JOIN src USING (place)"
+
+
+@query(q.recursive(ORDERS, _SOURCE, *q.random_log("constant", 200, 0.7, SEED, 300, 5000)) + _LOG)
 def win_const(spark, sf_dir):
-    return spread(generators.constant_window(pts_orders(spark, sf_dir), 200, 300, 0.7, SEED), 2, "seq", "point_id", "op", "weight")
+    return spread(generators.constant_window(pts_orders(spark, sf_dir), 200, 300, 0.7, SEED), 2, "seq", "point_id", "op", "weight").withColumn("op", F.col("op").cast("int"))
 
 
-@query()
+@query(q.recursive(ORDERS, _SOURCE, *q.random_log("snake", 200, 0.9, SEED)) + _LOG)
 def win_snake(spark, sf_dir):
-    return spread(generators.snake_window(pts_orders(spark, sf_dir), 200, SEED), 2, "seq", "point_id", "op", "weight")
+    return spread(generators.snake_window(pts_orders(spark, sf_dir), 200, SEED), 2, "seq", "point_id", "op", "weight").withColumn("op", F.col("op").cast("int"))
 
 
 @query("SELECT range AS point_id, floor(range / 100)::DOUBLE AS x0, (range % 100)::DOUBLE AS x1 FROM range(10000)")
@@ -130,11 +137,11 @@ def block_skip(spark, sf_dir):
 _HOURS = "([0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335])[month({0})] * 24 + day({0}) * 24 + hour({0}) + minute({0}) / 60.0::DOUBLE + floor(second({0})) / 3600.0::DOUBLE"
 
 
-@query(f"""WITH t AS (SELECT event_id AS point_id, ts AS a, ts + INTERVAL 90 MINUTE AS b FROM events)
-SELECT point_id, round({_HOURS.format('a')}, 6) AS start_h, round({_HOURS.format('b')}, 6) AS end_h FROM t WHERE a < b""")
+@query(f"""WITH t AS (SELECT event_id AS point_id, ts AS a, ts + INTERVAL 90 MINUTE AS b, value AS lat, -value AS lon FROM events)
+SELECT point_id, round({_HOURS.format('a')}, 6) AS start_h, round({_HOURS.format('b')}, 6) AS end_h, round({_HOURS.format('b')} - ({_HOURS.format('a')}), 6) AS dur_h, lat, lon FROM t WHERE a < b""")
 def ts_features(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("b"))
-    return generators.trip_features(rows, "a", "b").select("point_id", F.round("start_h", 6).alias("start_h"), F.round("end_h", 6).alias("end_h"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("b"), F.col("value").alias("lat"), (-F.col("value")).alias("lon"))
+    return generators.trip_features(rows, "a", "b", "lat", "lon").select("point_id", *[F.round(c, 6).alias(c) for c in ("start_h", "end_h", "dur_h")], "lat", "lon")
 
 
 # log replay
@@ -173,16 +180,24 @@ def stream_apply(spark, sf_dir):
     return spread(live.read(), 2, "point_id", "weight", "seq").select("point_id", "weight", "x0", "x1", "seq")
 
 
-@query()
+@query(q.with_(EVENTS, f"live AS ({_LIVE})") + "SELECT count(*) AS points, sum(floor(weight * 1000))::BIGINT AS w_milli, sum(point_id)::BIGINT AS ids, (sum(floor(weight * 1000)) > 0)::INTEGER AS has_summary FROM live")
 def stream_summary(spark, sf_dir):
-    """The summary kept by the same stream."""
+    """The points and weights in the leaves of the tree kept by the same stream, and whether it has a summary."""
     path = scratch_path(spark, "log")
     maintain.write_log(ops_events(spark, sf_dir), path, 4)
-    _, summary = maintain.replay(spark, path, tree.Shape())
-    return spread(summary.rows(), 2, "point_id", "is_center", "weight")
+    _, summary = maintain.replay(spark, path, maintain.Settings(k=3, dims=2, size=20))
+    some = 0 if summary.rows().isEmpty() else 1
+    return summary.tree().level(0).agg(F.count(F.lit(1)).alias("points"), F.sum("w_milli").alias("w_milli"), F.sum("point_id").alias("ids")).withColumn("has_summary", F.lit(some))
 
 
-@query()
+_TWENTY = q.draws("one", 20, SEED, "uniform", "unit")
+
+
+@query(
+    q.with_(ORDERS, "unit AS (SELECT point_id, 1.0::DOUBLE AS one FROM pts_orders)", _TWENTY, "s AS (SELECT DISTINCT point_id FROM drawn)", "c AS (SELECT count(*) AS n FROM pts_orders)", "h AS (SELECT count(*) AS hits FROM s)",
+            "m AS (SELECT count(*) AS miss FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey NOT IN (SELECT point_id FROM s))")
+    + "SELECT 'miss' AS deletes, n AS points, miss AS tombstones FROM c, m UNION ALL SELECT 'hit', n - hits, 0 FROM c, h"
+)
 def lazy_delete(spark, sf_dir):
     """Points and tombstones after deletes that miss the summary, and after deletes that hit it."""
     points = pts_orders(spark, sf_dir)
@@ -273,8 +288,17 @@ def uniform_sample(spark, sf_dir):
     return sampling.uniform_sample(pts_orders(spark, sf_dir), DRAWS, SEED).select("draw_no", "point_id")
 
 
+@query(q.with_(ORDERS) + f"SELECT {q.BUCKET} AS bucket, sum(weight) AS total FROM pts_orders WHERE point_id % 3 <> 1 GROUP BY 1")
+def sample_tree(spark, sf_dir):
+    """The sums of a sampling structure over two thirds of the points, after the last third came and a third went."""
+    points = pts_orders(spark, sf_dir)
+    third = lambda i: points.where(F.col("point_id") % 3 == i)
+    before = sampling.bucket_totals(third(0).unionAll(third(1)), F.col("weight"))
+    return sampling.merged_totals(before, third(2), third(1), F.col("weight"))
+
+
 @query(
-    q.with_(ORDERS, f"r AS (SELECT *, sum(weight) OVER ({q.ORDER}) AS hi, row_number() OVER (ORDER BY point_id % 65536, point_id) - 1 AS place FROM pts_orders)")
+    q.with_(ORDERS, f"r AS (SELECT *, sum(weight) OVER ({q.ORDER}) AS hi, row_number() OVER ({q.PLACES}) - 1 AS place FROM pts_orders)")
     + f"SELECT slot::BIGINT AS slot, arg_max(point_id, place) AS point FROM (SELECT *, CASE WHEN place < 50 THEN place WHEN {q.u(SEED, 'accept', 'point_id')} < 50 * weight / hi THEN floor({q.u(SEED, 'slot', 'point_id')} * 50) END AS slot FROM r) WHERE slot IS NOT NULL GROUP BY slot"
 )
 def reservoir(spark, sf_dir):
@@ -382,19 +406,28 @@ def lloyd_3(spark, sf_dir):
     return _shown(spark, kmeans.lloyd(*_five(spark, sf_dir), rounds=3, tolerance=0.0))
 
 
-_KMEANS = q.with_(ORDERS, *q.seeds(K, SEED), q.by_id(), *q.lloyd(ROUNDS)) + _CENTRES + f"lloyd_{ROUNDS}"
+_KMEANS = q.recursive(ORDERS, *q.seeds(K, SEED), q.by_id(), *q.converged()) + _CENTRES + "lloyd"
 
 
-def _kmeans(spark, sf_dir):
-    return _shown(spark, kmeans.kmeans(pts_orders(spark, sf_dir), K, SEED, ROUNDS, 0.0))
+@query(_KMEANS)
+def kmeans_(spark, sf_dir):
+    """Seeds and rounds until the centres stand still, 300 at most."""
+    return _shown(spark, kmeans.kmeans(pts_orders(spark, sf_dir), K, SEED))
+
 
+QUERIES["kmeans"], SQL["kmeans"] = QUERIES.pop("kmeans_"), SQL.pop("kmeans_")
 
-QUERIES["kmeans"], SQL["kmeans"] = _kmeans, _KMEANS
+
+@query(_KMEANS)
+def kmeans_small(spark, sf_dir):
+    """The same on rows in memory, as for summaries."""
+    return _shown(spark, small.kmeans(pts_orders(spark, sf_dir), K, SEED, kmeans.ROUNDS, kmeans.TOLERANCE))
 
 
 @query()
 def fast_seed(spark, sf_dir):
-    centres = grid_seeding.fast_seeds(pts_orders(spark, sf_dir), K, 2, SEED)
+    """Fifty seeds by distances in grids."""
+    centres = grid_seeding.fast_seeds(pts_orders(spark, sf_dir), 50, 2, SEED)
     rows = F.array(*[F.struct(F.lit(n).alias("step"), F.lit(key).cast("long").alias("point_id")) for n, _, key in centres])
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
@@ -412,6 +445,20 @@ def tree_dist(spark, sf_dir):
     return points.select("point_id", level.alias("level")).select("point_id", "level", Q(grid_seeding.tree_distance(F.col("level"), 1024.0, 2, 8)).alias("d"))
 
 
+_GRIDS = grid_seeding.Grids(((1300.25, 1411.5), (1007.0, 1803.75)), 1024.0, 8)
+_SEED_LEVELS = "greatest(" + ", ".join(_common_sql(8, 1024.0, g) for g in _GRIDS.shifts) + ")"
+
+
+@query(q.with_(ORDERS, "seeds AS (SELECT * FROM pts_orders ORDER BY point_id LIMIT 4)", "gone AS (SELECT min(point_id) AS point_id FROM seeds)") + f"SELECT p.point_id, max({_SEED_LEVELS})::INTEGER AS level FROM pts_orders p, seeds c WHERE c.point_id NOT IN (SELECT point_id FROM gone) AND p.point_id NOT IN (SELECT point_id FROM gone) AND p.point_id % 5 <> 0 GROUP BY p.point_id")
+def seed_update(spark, sf_dir):
+    """The deepest level that each point shares with any of four seeds, after points came and went, the first seed among them."""
+    points = pts_orders(spark, sf_dir)
+    seeds = [(r["point_id"], list(r["coords"])) for r in points.orderBy("point_id").limit(4).collect()]
+    state = grid_seeding.Seeding.over(points.where("point_id % 2 = 0"), _GRIDS, seeds).insert(points.where("point_id % 2 = 1"))
+    state = state.remove(points.where(F.col("point_id").isin([seeds[0][0]]) | (F.col("point_id") % 5 == 0)).select("point_id"))
+    return state.rows.select("point_id", state.levels().alias("level"))
+
+
 # summaries
 
 _SUMMARY = "SELECT draw_no, point_id, is_center, cluster_id, round(weight, 3) AS weight, round(x0, 3) AS x0, round(x1, 3) AS x1 FROM summary"
@@ -456,67 +503,126 @@ def coreset_prop(spark, sf_dir):
 # trees
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], tree.Shape]:
-    shape = tree.Shape(leaf=200, size=100, cutoff=100)
-    return tree.build(pts_orders(spark, sf_dir), shape), shape
+_SHAPE = tree.Shape(leaf=200, size=100, cutoff=150)
+_LEVELS = 12  # of the SQL; trees of up to 4,096 leaves
+_TREE = (ORDERS, *q.tree("pts_orders", 200, _LEVELS, 3, 100, 150, _SHAPE.seed), q.tree_height())
+_SHAPES = "SELECT level, node_id::BIGINT AS node_id, n, w_milli FROM (" + " UNION ALL ".join(f"SELECT {i}::INTEGER AS level, node_id, count(*) AS n, sum(w)::BIGINT AS w_milli FROM lvl_{i} GROUP BY node_id" for i in range(_LEVELS + 1)) + ")"
+
 
+def _tree(spark: SparkSession, sf_dir: str) -> tree.Tree:
+    return tree.build(pts_orders(spark, sf_dir), _SHAPE)
 
-@query(q.with_(ORDERS, "l AS (SELECT (row_number() OVER (ORDER BY point_id % 65536, point_id) - 1) // 200 AS node_id, floor(weight * 1000)::BIGINT AS w FROM pts_orders)") + "SELECT node_id::BIGINT AS node_id, count(*) AS n, sum(w)::BIGINT AS w_milli FROM l GROUP BY node_id")
+
+@query(q.with_(ORDERS, q.leaves("pts_orders", 200)) + "SELECT node_id::BIGINT AS node_id, count(*) AS n, sum(w)::BIGINT AS w_milli FROM lvl_0 GROUP BY node_id")
 def tree_build(spark, sf_dir):
     """Sizes and weights of the leaves of a new tree."""
-    rows = tree.leaves(pts_orders(spark, sf_dir), tree.Shape(leaf=200))
+    rows = tree.leaves(pts_orders(spark, sf_dir), _SHAPE)
     return rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("w_milli").alias("w_milli"))
 
 
-@query()
+@query(q.with_(ORDERS, *q.tree("pts_orders", 200, 1, 3, 100, 150, _SHAPE.seed)) + "SELECT node_id::BIGINT AS node_id, point_id, is_center, w AS w_milli, round(x0, 3) AS x0, round(x1, 3) AS x1 FROM lvl_1")
 def tree_reduce(spark, sf_dir):
     """The rows of the first reduced level."""
-    levels, _ = _tree(spark, sf_dir)
-    return spread(levels[min(1, len(levels) - 1)], 2, "level", "node_id", "point_id", "is_center", "w_milli")
+    rows = spread(_tree(spark, sf_dir).level(1), 2, "node_id", "point_id", "is_center", "w_milli")
+    return rows.select("node_id", "point_id", "is_center", "w_milli", *[F.round(c, 3).alias(c) for c in ("x0", "x1")])
 
 
-@query()
+@query(q.with_(*_TREE) + _SHAPES + " WHERE level <= (SELECT h FROM height)")
 def tree_shape(spark, sf_dir):
-    return tree.shape_of(_tree(spark, sf_dir)[0])
+    return tree.shape_of(_tree(spark, sf_dir).rows)
 
 
-@query()
+@query(q.with_(*_TREE, *q.reduced(f"lvl_{_LEVELS}", "top", "SELECT h + 1 FROM height", 3, 100, 100, _SHAPE.seed)) + "SELECT point_id, is_center, w / 1000 AS weight, round(x0, 3) AS x0, round(x1, 3) AS x1 FROM top")
 def tree_coreset(spark, sf_dir):
-    levels, shape = _tree(spark, sf_dir)
-    return spread(tree.outer(levels, shape), 2, "point_id", "is_center", "weight")
+    rows = spread(tree.summary(_tree(spark, sf_dir)), 2, "point_id", "is_center", "weight")
+    return rows.select("point_id", "is_center", "weight", *[F.round(c, 3).alias(c) for c in ("x0", "x1")])
 
 
-@query()
+def _leaves_after(leaf: int, gone: str) -> str:
+    """Leaves, points and weights after deletes, or under another size of leaves."""
+    return q.with_(
+        ORDERS, q.leaves("pts_orders", 200),
+        f"s AS (SELECT node_id, count(*) AS n0, count(*) FILTER (NOT ({gone})) AS n, coalesce(sum(w) FILTER (NOT ({gone})), 0) AS w FROM lvl_0 JOIN orders ON o_orderkey = point_id GROUP BY node_id)",
+        f"t AS (SELECT *, n = 0 OR (n < n0 AND n < {leaf}) OR ({leaf} <> 200 AND n < {leaf}) OR ({leaf} < 200 AND n > 2 * {leaf}) AS short FROM s)",
+        f"o AS (SELECT max(node_id) FILTER (n0 < 200 AND n > 0 AND n < {leaf} AND node_id = (SELECT max(node_id) FROM s)) AS open_, min(node_id) FILTER (short AND n > 0 AND n < {leaf}) AS first_ FROM t)",
+        "c AS (SELECT coalesce(open_, first_, -1) AS current_ FROM o)",
+        f"x AS (SELECT count(*) AS l, sum(n) AS points, sum(w) AS w, coalesce(sum(n) FILTER (short AND node_id <> current_), 0) AS m, count(*) FILTER (short AND node_id <> current_) AS h, coalesce({leaf} - max(n) FILTER (node_id = current_), 0) AS room FROM t, c)",
+    ) + f"SELECT (l + greatest(0, ceil((m - room) / {leaf})) - h)::BIGINT AS leaves, points::BIGINT AS points, w::BIGINT AS w_milli FROM x"
+
+
+def _leaf_totals(t: tree.Tree) -> DataFrame:
+    return t.level(0).agg(F.countDistinct("node_id").alias("leaves"), F.count(F.lit(1)).alias("points"), F.sum("w_milli").alias("w_milli"))
+
+
+def _before(spark: SparkSession, sf_dir: str, date: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(f"o_orderdate < timestamp'{date}'").select(F.col("o_orderkey").alias("point_id"))
+
+
+@query(_leaves_after(200, "o_orderdate < TIMESTAMP '1996-01-01'"))
 def tree_delete(spark, sf_dir):
-    levels, shape = _tree(spark, sf_dir)
-    gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1996-01-01'").select(F.col("o_orderkey").alias("point_id"))
-    return tree.shape_of(tree.delete(levels, gone, shape))
+    """The leaves after deletes: small ones are merged, the last ones take free numbers."""
+    return _leaf_totals(tree.delete(_tree(spark, sf_dir), _before(spark, sf_dir, "1996-01-01")))
 
 
-@query()
+@query(q.with_(ORDERS) + "SELECT ceil(count(*) / 200)::BIGINT AS leaves, count(*) AS points, sum(floor(weight * 1000))::BIGINT AS w_milli FROM pts_orders")
+def tree_insert(spark, sf_dir):
+    """The leaves after inserts: the open one is filled before new ones."""
+    points = pts_orders(spark, sf_dir)
+    return _leaf_totals(tree.insert(tree.build(points.where("point_id % 3 <> 0"), _SHAPE), points.where("point_id % 3 = 0")))
+
+
+@query(_leaves_after(60, "false"))
 def tree_rebalance(spark, sf_dir):
-    levels, shape = _tree(spark, sf_dir)
-    gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1999-01-01'").select(F.col("o_orderkey").alias("point_id"))
-    kept = levels[0].join(gone, "point_id", "left_anti").select(*levels[0].columns)
-    return tree.shape_of(tree.rebalance([kept], shape))
+    """The leaves under a smaller size: those above twice of it are dealt anew."""
+    return _leaf_totals(tree.rebalance(_tree(spark, sf_dir), tree.Shape(leaf=60, size=30, cutoff=30)))
 
 
-@query()
-def flat_tree_build(spark, sf_dir):
-    points = pts_orders(spark, sf_dir)
-    shape = tree.flat_shape(points.count(), 4, 6, size=100, cutoff=100)
-    return tree.shape_of(tree.build(points, shape))
+#: Height and arity of the six fixed-height trees.
+FLAT = ((3, 10), (4, 6), (5, 4), (6, 3), (7, 3), (8, 2))
 
 
-@query()
+_CAPACITY = "CASE WHEN l = 1 THEN 1 ELSE greatest(1, floor(l * f)) END"
+_FLAT_LEAVES = "SELECT row_number() OVER ({places}) - 1 AS place, *, (SELECT min(l) FROM (SELECT range AS l, 1.0 AS f FROM range(1, 100000)) WHERE l * {cap} >= (SELECT count(*) FROM {points})) AS l, 1.0 AS f FROM {points}"
+
+
+def _flat_build(height: int, arity: int) -> None:
+    first = "lvl_0 AS MATERIALIZED (SELECT place // (" + _CAPACITY + ")::BIGINT AS node_id, point_id, false AS is_center, floor(weight * 1000)::BIGINT AS w, x0, x1 FROM (" + _FLAT_LEAVES.format(places=q.PLACES, cap=_CAPACITY, points="pts_orders") + "))"
+    levels = q.tree("pts_orders", 1, height - 1, 3, 100, 100, 7, arity, height)
+    shapes = " UNION ALL ".join(f"SELECT {i}::INTEGER AS level, node_id::BIGINT AS node_id, count(*) AS n, sum(w)::BIGINT AS w_milli FROM lvl_{i} GROUP BY node_id" for i in range(height))
+
+    def run(spark, sf_dir):
+        points = pts_orders(spark, sf_dir)
+        return tree.shape_of(tree.build(points, tree.flat_shape(points.count(), height, arity, size=100, cutoff=100)).rows)
+
+    name = "flat_tree_build" if height == 4 else f"flat_tree_h{height}"
+    QUERIES[name], SQL[name] = run, q.with_(ORDERS, first, *levels[1:]) + shapes
+
+
+for _height, _arity in FLAT:
+    _flat_build(_height, _arity)
+
+
+@query(
+    q.with_(ORDERS, f"caps AS (SELECT l, l * {_CAPACITY} AS takes, {_CAPACITY} AS cap FROM (SELECT range AS l, 1.0 AS f FROM range(1, 100000)))",
+            "c AS (SELECT count(*) AS n, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') AS late, count(*) FILTER (point_id % 4 <> 0) AS n0 FROM pts_orders JOIN orders ON o_orderkey = point_id)",
+            "l0 AS (SELECT ceil(n0 / (SELECT cap FROM caps WHERE takes >= n0 ORDER BY l LIMIT 1)) AS l0 FROM c)", "l1 AS (SELECT min(l) AS l1 FROM caps, c, l0 WHERE l >= l0 AND takes >= n)",
+            "l2 AS (SELECT max(l) AS l2 FROM caps, c, l1 WHERE l <= l1 AND (l = 1 OR (l - 1) * (SELECT cap FROM caps b WHERE b.l = caps.l - 1) <= late))")
+    + "SELECT l1::BIGINT AS leaves, n AS points, 1::BIGINT AS fits, 'insert' AS step FROM c, l1 UNION ALL SELECT l2::BIGINT, late, 1, 'delete' FROM c, l2"
+)
 def flat_tree_delete(spark, sf_dir):
+    """Leaves of a fixed-height tree that grows with inserts and shrinks with deletes; no leaf is above its capacity."""
     points = pts_orders(spark, sf_dir)
-    shape = tree.flat_shape(points.count(), 3, 10, size=100, cutoff=100)
-    gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1996-01-01'").select(F.col("o_orderkey").alias("point_id"))
-    return tree.shape_of(tree.delete(tree.build(points, shape), gone, shape))
+    some = points.where("point_id % 4 <> 0")
+    grown = tree.insert(tree.build(some, tree.flat_shape(some.count(), 3, 10, size=100, cutoff=100)), points.where("point_id % 4 = 0"))
+    less = tree.delete(grown, _before(spark, sf_dir, "1998-01-01"))
+    out = []
+    for name, t in (("insert", grown), ("delete", less)):
+        sizes = t.level(0).groupBy("node_id").count()
+        most = F.max("count") <= tree.leaf_capacity(t.leaves, 1.0)
+        out.append(sizes.agg(F.lit(t.leaves).cast("long").alias("leaves"), F.sum("count").alias("points"), most.cast("long").alias("fits"), F.lit(name).alias("step")))
+    return out[0].unionAll(out[1])
 
 
-_CAPACITY = "CASE WHEN l = 1 THEN 1 ELSE greatest(1, floor(l * f)) END"
 
 
 @query(f"SELECT n, f::DOUBLE AS factor, min(l)::BIGINT AS leaves FROM (SELECT range AS n FROM range(1, 61)), (VALUES (1.0), (0.5)) v(f), (SELECT range AS l FROM range(1, 61)) WHERE l * {_CAPACITY} >= n GROUP BY n, f")
@@ -553,7 +659,7 @@ PAIRS = 10_000
 
 
 def _rand_sql(rows: str) -> str:
-    return f"""n AS (SELECT *, row_number() OVER (ORDER BY point_id % 65536, point_id) - 1 AS at FROM {rows}),
+    return f"""n AS (SELECT *, row_number() OVER ({q.PLACES}) - 1 AS at FROM {rows}),
 pairs AS (SELECT floor({q.u(SEED, 'left', 'range')} * c)::BIGINT AS a, floor({q.u(SEED, 'right', 'range')} * c)::BIGINT AS b FROM range({PAIRS}), (SELECT count(*) AS c FROM n))
 SELECT round(coalesce(sum(CASE WHEN (x.p = y.p) = (x.q = y.q) THEN x.weight + y.weight ELSE 0 END) / sum(x.weight + y.weight), 0), 6) AS rand_index FROM pairs JOIN n x ON x.at = a JOIN n y ON y.at = b"""
 
@@ -583,11 +689,11 @@ def rand_index_labels(spark, sf_dir):
 
 
 _SUM_POINTS = "sum_points AS (SELECT coalesce(draw_no, 1099511627776 + cluster_id) AS point_id, weight, x0, x1 FROM summary)"
+_SOLVED = [*q.seeds(K, SEED, "sum_points", name="xs"), q.by_id("xs", "xc"), *q.converged("sum_points", "xc", name="xl")]
 _SOLUTIONS = [
-    ORDERS, *q.summary(K, DRAWS, SEED, True), _SUM_POINTS,
-    *q.seeds(K, SEED, "sum_points", name="xs"), q.by_id("xs", "xc"), *q.lloyd(ROUNDS, "sum_points", "xc", name="xl"),
-    *q.seeds(K, SEED, "pts_orders", name="ts"), q.by_id("ts", "tc"), *q.lloyd(ROUNDS, "pts_orders", "tc", name="tl"),
-    *[q.assigned(points, f"{c}l_{ROUNDS}", f"{c}on{t}") for c in "xt" for t, points in (("x", "sum_points"), ("t", "pts_orders"))],
+    ORDERS, *q.summary(K, DRAWS, SEED, True), _SUM_POINTS, *_SOLVED,
+    *q.seeds(K, SEED, "pts_orders", name="ts"), q.by_id("ts", "tc"), *q.converged("pts_orders", "tc", name="tl"),
+    *[q.assigned(points, f"{c}l", f"{c}on{t}") for c in "xt" for t, points in (("x", "sum_points"), ("t", "pts_orders"))],
     "v AS (SELECT " + ", ".join(f"(SELECT sum(weight * d2) / sum(weight) FROM {c}on{t}) AS {c}{t}" for c in "xt" for t in "xt") + ")",
 ]
 
@@ -595,25 +701,19 @@ _SOLUTIONS = [
 def _solution_costs(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """Average costs of the solutions on the table (t) and on its summary (x), on both."""
     points = pts_orders(spark, sf_dir)
-    rows = coreset.summarize(points, K, DRAWS, SEED, 2)
-    key = F.coalesce("draw_no", F.lit(1 << 40) + F.col("cluster_id")).cast("long")
-    sets = {"x": materialize(rows.select(key.alias("point_id"), "weight", "coords"), "summary"), "t": points}
-    out = {}
-    for c, data in sets.items():
-        centres = kmeans.kmeans(data, K, SEED, ROUNDS, 0.0)
-        for t, on in sets.items():
-            cost, weight = kmeans.sq_cost(on, centres)
-            out[c + t] = cost / weight
-    return out
-
-
-@query(q.with_(*_SOLUTIONS) + "SELECT round(greatest(tt / tx, tx / tt, xx / xt, xt / xx), 5) AS distortion FROM v")
+    sets = {"x": materialize(baselines.numbered_summary(coreset.summarize(points, K, DRAWS, SEED, 2)), "summary"), "t": points}
+    centres = {"x": small.kmeans(sets["x"], K, SEED, kmeans.ROUNDS, kmeans.TOLERANCE), "t": kmeans.kmeans(points, K, SEED)}
+    costs = {c + t: kmeans.sq_cost(on, centres[c]) for c in centres for t, on in sets.items()}
+    return {name: cost / weight for name, (cost, weight) in costs.items()}
+
+
+@query(q.recursive(*_SOLUTIONS) + "SELECT round(greatest(tt / tx, tx / tt, xx / xt, xt / xx), 5) AS distortion FROM v")
 def distortion(spark, sf_dir):
     v = _solution_costs(spark, sf_dir)
     return spark.range(1).select(F.round(F.lit(metrics.distortion(v["tt"], v["tx"], v["xx"], v["xt"])), 5).alias("distortion"))
 
 
-@query(q.with_(*_SOLUTIONS) + "SELECT round(tt / xt, 5) AS quality FROM v")
+@query(q.recursive(*_SOLUTIONS) + "SELECT round(tt / xt, 5) AS quality FROM v")
 def quality(spark, sf_dir):
     v = _solution_costs(spark, sf_dir)
     return spark.range(1).select(F.round(F.lit(metrics.quality(v["tt"], v["xt"])), 5).alias("quality"))
@@ -621,21 +721,32 @@ def quality(spark, sf_dir):
 
 @query(_KMEANS)
 def kmeans_full(spark, sf_dir):
-    return _shown(spark, kmeans.lloyd(pts_orders(spark, sf_dir), kmeans.ordered_by_id(kmeans.seed_centres(pts_orders(spark, sf_dir), K, SEED)), ROUNDS, 0.0))
+    return _shown(spark, baselines.kmeans_full(pts_orders(spark, sf_dir), K, SEED))
 
 
-@query(q.with_(ORDERS, *q.summary(K, DRAWS, SEED, False), _SUM_POINTS, *q.seeds(K, SEED, "sum_points", name="xs"), q.by_id("xs", "xc"), *q.lloyd(ROUNDS, "sum_points", "xc", name="xl")) + _CENTRES + f"xl_{ROUNDS}")
+@query(q.recursive(ORDERS, *q.summary(K, DRAWS, SEED, False), _SUM_POINTS, *_SOLVED) + _CENTRES + "xl")
 def kmeans_static(spark, sf_dir):
-    return _shown(spark, baselines.kmeans_static(pts_orders(spark, sf_dir), K, DRAWS, SEED, ROUNDS, 2))
+    return _shown(spark, baselines.kmeans_summary(pts_orders(spark, sf_dir), K, DRAWS, SEED, 2, weighted=False))
 
 
-@query(
-    q.with_(ORDERS, "unit AS (SELECT *, 1.0::DOUBLE AS one FROM pts_orders)", q.draws("one", DRAWS, SEED, "uniform", "unit"), "r AS (SELECT draw_no AS point_id, weight, x0, x1 FROM drawn)",
-            *q.seeds(K, SEED, "r", name="xs"), q.by_id("xs", "xc"), *q.lloyd(ROUNDS, "r", "xc", name="xl"))
-    + _CENTRES + f"xl_{ROUNDS}"
-)
+@query(q.recursive(ORDERS, *q.summary(K, DRAWS, SEED, True), _SUM_POINTS, *_SOLVED) + _CENTRES + "xl")
+def kmeans_summary(spark, sf_dir):
+    return _shown(spark, baselines.kmeans_summary(pts_orders(spark, sf_dir), K, DRAWS, SEED, 2))
+
+
+def _random_sql(weight: str, kept: str) -> str:
+    return q.recursive(ORDERS, "unit AS (SELECT *, 1.0::DOUBLE AS one FROM pts_orders)", q.draws(weight, DRAWS, SEED, "uniform" if weight == "one" else "proportional", "unit"), f"r AS (SELECT draw_no AS point_id, {kept} AS weight, x0, x1 FROM drawn)",
+                       *q.seeds(K, SEED, "r", name="xs"), q.by_id("xs", "xc"), *q.converged("r", "xc", name="xl")) + _CENTRES + "xl"
+
+
+@query(_random_sql("one", "weight"))
 def kmeans_random(spark, sf_dir):
-    return _shown(spark, baselines.kmeans_random(pts_orders(spark, sf_dir), K, DRAWS, SEED, ROUNDS))
+    return _shown(spark, baselines.kmeans_random(pts_orders(spark, sf_dir), K, DRAWS, SEED))
+
+
+@query(_random_sql("weight", "1.0::DOUBLE"))
+def kmeans_random_prop(spark, sf_dir):
+    return _shown(spark, baselines.kmeans_random(pts_orders(spark, sf_dir), K, DRAWS, SEED, proportional=True))
 
 
 _REGIONS = (NATIONS, q.points("pts_region"), "few AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS i FROM pts_region)")
@@ -661,6 +772,8 @@ def exact_kmeans(spark, sf_dir):
 
 @query()
 def report(spark, sf_dir):
+    """The last rows of the report on a log that slides over the orders."""
     from driftsum.plans.report import experiment
 
-    return experiment(generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED), 2, K, DRAWS, SEED, every=1000)
+    ops = generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED)
+    return experiment(ops, maintain.Settings(k=K, dims=2, size=DRAWS, cutoff_factor=2.0, insertion_factor=2.0, remove_factor=0.05, seed=SEED), every=1000, checkpoints=8)

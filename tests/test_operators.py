@@ -1,12 +1,12 @@
 """Small cases worked out by hand, and invariants."""
 
-import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftsum.operators import baselines, clustering, coreset, generators, grid_seeding, kmeans, metrics, replay, sampling, tree
+from driftsum.operators import baselines, clustering, coreset, generators, grid_seeding, kmeans, metrics, replay, sampling, small, tree
 from driftsum.sources import oplog
 from driftsum.sources.points import pts_orders
 from driftsum.streaming import maintain
@@ -43,15 +43,36 @@ def test_lines_are_numbered_in_file_order(spark, tmp_path):
     assert sorted((r["seq"], r["point_id"]) for r in rows) == [(i, i) for i in range(5000)]
 
 
+def test_folders_are_read_by_path_and_place(spark, tmp_path):
+    """Files of rising and falling sizes, cut into splits that the scan orders by size."""
+    sizes, at = {"a.txt": 3, "b.txt": 900, "c.txt": 1, "d.txt": 300}, 0
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"# c\n{at + i} 1 1 {i}\n" for i in range(n)))
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = oplog.read_ops(spark, f"file://{tmp_path}", 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["seq"], r["point_id"]) for r in rows) == [(i, i) for i in range(at)]
+
+
 def test_command_line(spark, tmp_path):
-    from driftsum.__main__ import main, parse
+    from driftsum.__main__ import first_rows, main, parse
 
     (tmp_path / "log.txt").write_text("".join(f"{i},1,1,{i % 17},{i % 5}\n" for i in range(300)))
-    args = ["-f", f"file://{tmp_path}/log.txt", "-o", f"file://{tmp_path}/out", "-k", "2", "-d", "2", "-c", "20", "--skip", "150", "--checkpoints", "1", "--rounds", "2"]
-    assert parse(args).rows() == 20
+    args = ["-f", f"file://{tmp_path}/log.txt", "-o", f"file://{tmp_path}/out", "-k", "2", "-d", "2", "-c", "20", "--skip", "150", "--checkpoints", "1", "--rounds", "2", "-i", "100", "-v", "10", "-x", "2"]
+    o = parse(args)
+    assert o.rows() == 20 and o.first == 100 and o.settings.remove_factor == 0.1 and o.settings.insertion_factor == 2
     main(args)
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")).splitlines()
-    assert len(text) == 2 and text[1].startswith("150 ")
+    assert len(text) == 2 and text[1].startswith("150 ") and "nan" not in text[1]
+    chosen = parse(["-f", "x", "-o", "y", "-k", "3", "-d", "2", "-e", "0.9", "-l", "0.5"])
+    assert chosen.settings.node_size(4 * chosen.first) < chosen.first < 4 * chosen.settings.node_size(4 * chosen.first) or chosen.first == 50_000
+    assert first_rows(chosen.settings) == chosen.first and first_rows(maintain.Settings(k=2, dims=2, size=40)) == 41
+    for wrong in (["-k", "2"], ["-f", "x", "-o", "y", "-k", "2", "-d", "2"], [*args, "--vfixed", "3"], ["-f", "x", "-o", "y", "-k", "2", "-d", "2", "-e", "0", "-l", "0.1"]):
+        with pytest.raises(SystemExit):
+            parse(wrong)
 
 
 def test_bad_lines_give_no_row(spark):
@@ -111,7 +132,6 @@ def test_summary_sizes():
     assert coreset.summary_size(0.1, 0.1, 10, 4) == 21151
     assert coreset.summary_size(0, 0.1, 3, 2) == coreset.summary_size(0.5, 0.6, 3, 2) == -1
     assert coreset.summary_size(0.5, 0.1, 3, 2, fixed=40) == 40
-    assert coreset.first_rows(166) == 170
 
 
 def test_truncating_count(spark):
@@ -203,50 +223,226 @@ def test_summary_invariants(spark):
     assert abs(statistics.mean(drawn) / total - 1) < 0.25
 
 
-def test_tree_invariants(spark):
+def test_light_clusters_have_true_means(spark):
+    points = spark.createDataFrame([(0, 0.25, [4.0, 8.0]), (1, 0.25, [6.0, 8.0]), (2, 0.0, [90.0, 90.0])], POINTS)
+    assert kmeans.lloyd_step(points, [(0, [5.0, 5.0]), (1, [90.0, 91.0]), (2, [500.0, 0.0])]) == [(0, [5.0, 8.0]), (1, [90.0, 91.0]), (2, [500.0, 0.0])]
+
+
+def test_rows_in_memory_are_solved_alike(spark):
+    points = pts_orders(spark, SF).where("point_id % 5 = 0")
+    for k, seed in ((1, 3), (3, 4)):
+        far, near = kmeans.kmeans(points, k, seed), small.kmeans(points, k, seed, kmeans.ROUNDS, kmeans.TOLERANCE)
+        assert [i for i, _ in far] == [i for i, _ in near]
+        assert [x for _, c in far for x in c] == pytest.approx([x for _, c in near for x in c])
+    assert small.kmeans(points.limit(0), 2, 1, 3, 0.0) == []
+
+
+def test_seeds_with_a_written_distance(spark, monkeypatch):
+    points = pts_orders(spark, SF).where("point_id % 7 = 0")
+    plain = kmeans.seed_centres(points, 7, 2)
+    monkeypatch.setattr(kmeans, "REFRESH", 2)
+    assert kmeans.seed_centres(points, 7, 2) == plain and len(plain) == 7
+
+
+def test_buckets_of_regular_ids(spark):
+    """Ids that step by a power of two are spread like others."""
+    rows = spark.range(0, 1000 * 65_536, 65_536).select(sampling.bucket(F.col("id")).alias("b")).distinct().count()
+    assert rows > 950
+    points = spark.range(0, 1000 * 65_536, 65_536).select(F.col("id").alias("point_id"), F.lit(1.0).alias("weight"))
+    assert sampling.weighted_sample(points, F.col("weight"), 50, 1).count() == 50
+
+
+def test_draws_order_only_drawn_buckets(spark):
+    points = pts_orders(spark, SF)
+    drawn = sampling.weighted_sample(points, F.col("weight"), 5, 3)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    window, scan = plan.index("Window"), plan.index("LeftSemi")
+    assert window < scan  # in the printed tree, what is below comes later
+
+
+def test_heights():
+    shape = tree.Shape(fan_in=3)
+    assert [tree.height_of(n, shape) for n in (0, 1, 2, 3, 4, 243, 244)] == [0, 0, 1, 1, 2, 5, 6]
+    assert tree.height_of(279_936, tree.Shape(fan_in=6)) == 7 and tree.height_of(5, tree.flat_shape(10, 4, 6)) == 3
+
+
+def of_tree(t):
+    return sorted((r["level"], r["node_id"], r["point_id"], r["is_center"], r["w_milli"], tuple(r["coords"])) for r in t.rows.collect())
+
+
+def sizes_of(t, level=0):
+    return {r["node_id"]: r["count"] for r in t.level(level).groupBy("node_id").count().collect()}
+
+
+def check_tree(t, ids):
+    """What must hold for any tree: its points, dense leaves of the right sizes, and nodes that a full computation gives, too."""
+    assert sorted(r["point_id"] for r in t.level(0).collect()) == sorted(ids)
+    sizes = sizes_of(t)
+    assert {*sizes} <= {*range(t.leaves)}
+    if t.shape.height is None:
+        assert len(sizes) == t.leaves and all(n >= t.shape.leaf for leaf, n in sizes.items() if leaf != t.open)
+        assert t.open is None or sizes[t.open] < t.shape.leaf
+    else:
+        assert max(sizes.values(), default=0) <= tree.leaf_capacity(t.leaves, t.shape.leaf_factor)
+    assert of_tree(t) == of_tree(tree.over(t.level(0), t.shape))
+
+
+def test_tree_follows_changes(spark, monkeypatch):
+    """Inserts and deletes in turn, in one band and in many."""
+    points = pts_orders(spark, SF).where("point_id < 1200")
+    ids = [r["point_id"] for r in points.select("point_id").collect()]
+    shape = tree.Shape(leaf=20, size=12, cutoff=15)
+    for rows in (1 << 16, 1):
+        monkeypatch.setattr(tree, "BAND_ROWS", rows)
+        t = tree.build(points.where("point_id % 3 = 0"), shape)
+        live = {i for i in ids if i % 3 == 0}
+        check_tree(t, live)
+        steps = [("point_id % 3 = 1 and point_id < 500", "point_id < 0")] if rows == 1 else [("point_id % 3 = 1 and point_id < 200", "point_id < 0"), ("point_id < 0", "point_id % 3 = 0 and point_id < 700"), ("point_id % 3 = 2 and point_id > 900", "point_id % 5 = 1")]
+        for new, gone in steps:
+            level0, leaves, open_ = tree.update(t, points.where(new), points.where(gone).select("point_id"))
+            t = tree._changed(t, level0, leaves, open_, shape)
+            live = (live - {r["point_id"] for r in points.where(gone).collect()}) | {r["point_id"] for r in points.where(new).collect()}
+            check_tree(t, live)
+    assert tree.summary(t).count() <= shape.size
+    empty = tree.delete(t, points.select("point_id"))
+    assert empty.leaves == 0 and empty.rows.isEmpty()
+    check_tree(tree.insert(empty, points.limit(30)), [r["point_id"] for r in points.limit(30).collect()])
+
+
+def test_appends_reach_inner_nodes_without_reductions(spark):
     points = pts_orders(spark, SF)
-    shape = tree.Shape(leaf=100, size=50, cutoff=50)
-    levels = tree.build(points, shape)
-    assert len(levels) == 1 + math.ceil(math.log2(15)) and levels[-1].select("node_id").distinct().count() == 1
-    assert levels[0].agg(F.sum("w_milli")).first()[0] == points.agg(F.sum("weight")).first()[0] * 1000
-    assert all(x.groupBy("node_id").count().agg(F.max("count")).first()[0] <= 50 for x in levels[1:])
-    gone = points.where("point_id < 300").select("point_id")
-    after = tree.delete(levels, gone, shape)
-    # the path rebuild equals a full rebuild over the same leaves
-    full = [after[0]]
-    for level in range(1, len(levels)):
-        full.append(tree.parents(full[-1], level, shape))
-    key = lambda x: sorted((r["node_id"], r["point_id"], r["is_center"], r["w_milli"], tuple(r["coords"])) for r in x.collect())
-    for a, b in zip(after[1:], full[1:], strict=True):
-        assert key(a) == key(b)
-    left = {r["point_id"] for r in tree.outer(after, shape).collect()}
-    assert not left & set(range(300))
-    balanced = tree.rebalance([after[0]], shape)
-    assert balanced[0].groupBy("node_id").count().agg(F.max("count")).first()[0] == 100
-
-
-def test_stream_equals_batch(spark, tmp_path):
+    shape = tree.Shape(leaf=20, size=12, cutoff=12, insertion=200)
+    before = tree.build(points.where("point_id < 390"), shape)
+    after = tree.insert(before, points.where("point_id = 400"))
+    for level in range(1, after.height + 1):
+        old, new = ({(r["node_id"], r["point_id"], r["w_milli"]) for r in t.level(level).collect()} for t in (before, after))
+        assert {p for _, p, _ in new - old} == {400} and not old - new
+    full = tree.insert(tree.build(points.where("point_id < 390"), tree.Shape(leaf=20, size=12, cutoff=12)), points.where("point_id = 400"))
+    assert full.level(full.height).count() <= 12
+
+
+def test_fixed_height_grows_and_shrinks(spark):
+    points = pts_orders(spark, SF).where("point_id < 200")
+    ids = [r["point_id"] for r in points.collect()]
+    t = tree.build(points, tree.flat_shape(len(ids), 4, 3, size=10, cutoff=10))
+    check_tree(t, ids)
+    less = tree.delete(t, points.where("point_id >= 20").select("point_id"))
+    check_tree(less, [i for i in ids if i < 20])
+    assert less.leaves <= 6 < t.leaves and max(sizes_of(less).values()) <= less.leaves
+    check_tree(tree.insert(less, points.where("point_id >= 20 and point_id < 60")), [i for i in ids if i < 60])
+
+
+def test_reductions_keep_each_clusters_weight():
+    rng = np.random.default_rng(1)
+    ids, milli, coords = np.arange(300), rng.integers(1, 5000, 300), rng.normal(size=(300, 2))
+    out_ids, centre, w, x = small.reduce_rows(ids, milli, coords, 3, 40, 7, "1:0")
+    again = small.reduce_rows(ids[::-1], milli[::-1], coords[::-1], 3, 40, 7, "1:0")
+    assert all((a == b).all() for a, b in zip((out_ids, centre, w, x), again, strict=True))
+    assert len(out_ids) == 40 and centre.sum() == 3 and w.dtype.kind == "i"
+    assert w.sum() >= milli.sum() and all((coords[i] == c).all() for i, c, m in zip(out_ids, x, centre, strict=True) if not m)
+    same = small.reduce_rows(ids, milli, np.ones((300, 2)), 3, 40, 7, "1:0")
+    assert same[0].tolist() == [-1] and same[2].tolist() == [milli.sum()]
+
+
+def versions_of(spark, path, batches):
+    """A new object for each batch, as after a restart of the driver; returns the live set of each version."""
+    out = []
+    for i, batch in batches:
+        maintain.LiveSet(spark, path).apply(batch, i)
+        out.append(sorted((r["point_id"], r["seq"], r["weight"]) for r in maintain.LiveSet(spark, path).read().collect()))
+    return out
+
+
+def test_batches_are_replayed_and_resumed(spark, tmp_path):
+    path = f"file://{tmp_path}/live"
+    first = spark.createDataFrame([(0, 1, 1, 1.0, [0.0]), (1, 2, 1, 1.0, [0.0])], OPS)
+    second = spark.createDataFrame([(2, 1, 0, 1.0, [0.0]), (3, 3, 1, 1.0, [0.0]), (1, 2, 0, 1.0, [0.0])], OPS)  # the last row comes late
+    third = spark.createDataFrame([(4, 3, 0, 1.0, [0.0]), (5, 3, 1, 9.0, [5.0]), (6, 4, 1, 1.0, [0.0])], OPS)
+    batches = [(0, first), (1, second), (1, second), (2, third), (2, third)]
+    got = versions_of(spark, path, batches)
+    assert got == [[(1, 0, 1.0), (2, 1, 1.0)], *[[(2, 1, 1.0), (3, 3, 1.0)]] * 2, *[[(2, 1, 1.0), (3, 5, 9.0), (4, 6, 1.0)]] * 2]
+    live = maintain.LiveSet(spark, path)
+    assert live.version == 2 and live.versions.numbers() == [1, 2]
+    change = live.apply(third, 2)
+    assert [r["point_id"] for r in change.deleted.collect()] == [3] and sorted(r["point_id"] for r in change.inserted.collect()) == [3, 4]
+
+
+def test_compaction_keeps_the_live_set(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(maintain, "ROWS_KEPT", 3)
+    ops = [(i, i % 7, int(i % 3 > 0), float(i), [0.0]) for i in range(40)]
+    path = f"file://{tmp_path}/live"
+    for i in range(4):
+        maintain.LiveSet(spark, path).apply(spark.createDataFrame(ops[i * 10 : i * 10 + 10], OPS), i)
+    key = lambda df: sorted((r["point_id"], r["seq"], r["weight"]) for r in df.collect())
+    assert key(maintain.LiveSet(spark, path).read()) == key(replay.live_set(spark.createDataFrame(ops, OPS)))
+    assert len(list((tmp_path / "live" / "base").glob("batch-*"))) <= 2
+
+
+def follow(spark, path, settings, batches):
+    for i, batch in batches:  # new objects each time
+        maintain.Summary(spark, f"{path}/tree", settings).follow(maintain.LiveSet(spark, f"{path}/live").apply(spark.createDataFrame(batch, OPS), i))
+    return maintain.Summary(spark, f"{path}/tree", settings)
+
+
+def inserts(first, last, seq=None, weight=1.0):
+    return [((first if seq is None else seq) + i, first + i, 1, weight, [float((first + i) % 13), float((first + i) % 7)]) for i in range(last - first)]
+
+
+def test_summary_follows_the_live_set(spark, tmp_path):
+    """Restarts, a replayed batch, a reinserted point, an open leaf, noted deletes."""
+    path, settings = f"file://{tmp_path}", maintain.Settings(k=2, dims=2, size=20, remove_fixed=4)
+    s = follow(spark, path, settings, [(0, inserts(0, 95)), (1, [(95, 95, 1, 1.0, [1.0, 1.0])]), (2, [(96, 96, 1, 1.0, [2.0, 2.0])]), (3, [(97, 97, 1, 1.0, [3.0, 3.0])])])
+    t = s.tree()
+    assert t.leaves == 10 and t.open == 9 and sizes_of(t)[9] == 8  # one leaf takes the three batches
+    check_tree(t, range(98))
+    kept = {r["point_id"] for r in s.rows().collect()}
+    out = next(i for i in range(90) if i not in kept)
+    s = follow(spark, path, settings, [(4, [(98, out, 0, 1.0, [0.0, 0.0])])])
+    assert s.versions.newest()["noted"] == 1 and s.tree().level(0).count() == 98  # only noted
+    for _ in range(2):  # the point that went comes back elsewhere, and the batch is replayed
+        s = follow(spark, path, settings, [(5, [(99, out, 1, 5.0, [999.0, 0.0])])])
+        rows = [r for r in s.tree().level(0).collect() if r["point_id"] == out]
+        assert [(r["w_milli"], r["coords"]) for r in rows] == [(5000, [999.0, 0.0])] and s.versions.newest()["noted"] == 0
+    check_tree(s.tree(), range(98))
+    s = follow(spark, path, settings, [(6, [(100 + i, i, 0, 1.0, [0.0, 0.0]) for i in range(30, 82)])])
+    check_tree(s.tree(), [i for i in range(98) if not 30 <= i < 82])
+    assert s.versions.newest()["updates"] == 0 and s.versions.newest()["np"] == 4 * 95 - 4 * 95 // 2  # the phase ended
+    dump = s.dump().collect()
+    assert sum(r["n"] for r in dump if r["leaf"]) == 46 and {r["level"] for r in dump if r["refreshed"]} <= {0}
+    assert sum(r["w_milli"] for r in dump if r["leaf"]) == 46_000 + 4_000 * (not 30 <= out < 82)
+    assert {r["point_id"] for r in s.rows().collect()} <= {-1, *[i for i in range(98) if not 30 <= i < 82]}
+
+
+def test_summary_sizes_follow_the_phase(spark, tmp_path, monkeypatch):
+    """Without a fixed size, nodes grow with the number of points, and the tree is computed anew."""
+    monkeypatch.setattr(maintain, "ROWS_KEPT", 10)
+    settings = maintain.Settings(k=1, dims=2, eps=20.0, lam=0.5, refresh=0.5)
+    s = follow(spark, f"file://{tmp_path}", settings, [(0, inserts(0, 60)), (1, inserts(60, 70)), (2, inserts(70, 200)), (3, inserts(200, 203))])
+    meta = s.versions.newest()
+    assert meta["np"] == 800 and meta["rebuilt"] == 2 and meta["live"] == 203 and s.tree().shape.size == settings.node_size(800) > settings.node_size(240)
+    check_tree(s.tree(), range(203))
+
+
+def test_summary_of_fixed_height(spark, tmp_path):
+    settings = maintain.Settings(k=2, dims=2, size=10, height=3, arity=3)
+    s = follow(spark, f"file://{tmp_path}", settings, [(0, inserts(0, 50)), (1, inserts(50, 80)), (2, [(100 + i, i, 0, 1.0, [0.0, 0.0]) for i in range(70)])])
+    check_tree(s.tree(), range(70, 80))
+    assert s.tree().leaves <= 4
+
+
+def test_stream_equals_batch_and_resumes(spark, tmp_path):
     from driftsum.sources.points import ops_events
 
     ops = ops_events(spark, SF)
-    maintain.write_log(ops, f"file://{tmp_path}/log", 5)
-    live, summary = maintain.replay(spark, f"file://{tmp_path}/log", tree.Shape(leaf=5, size=6, cutoff=6, k=2))
     key = lambda df: sorted((r["point_id"], r["seq"], r["weight"]) for r in df.collect())
+    settings = maintain.Settings(k=2, dims=2, size=6)
+    maintain.write_log(ops.where("seq < 600"), f"file://{tmp_path}/log", 3)
+    live, _ = maintain.replay(spark, f"file://{tmp_path}/log", settings, f"file://{tmp_path}/state")
+    assert key(live.read()) == key(replay.live_set(ops, 599))
+    maintain.write_log(ops.where("seq >= 600"), f"file://{tmp_path}/log", 2)
+    live, summary = maintain.replay(spark, f"file://{tmp_path}/log", settings, f"file://{tmp_path}/state")
     assert key(live.read()) == key(replay.live_set(ops))
-    ids = {r["point_id"] for r in live.read().collect()}
-    assert {r["point_id"] for r in summary.rows().collect()} <= ids | {-1}
-
-
-def test_replayed_batch_overwrites_its_version(spark, tmp_path):
-    live = maintain.LiveSet(spark, f"file://{tmp_path}/live")
-    first = spark.createDataFrame([(0, 1, 1, 1.0, [0.0]), (1, 2, 1, 1.0, [0.0])], OPS)
-    second = spark.createDataFrame([(2, 1, 0, 1.0, [0.0]), (3, 3, 1, 1.0, [0.0])], OPS)
-    live.apply(first, 0)
-    live.apply(second, 1)
-    once = sorted(r["point_id"] for r in live.read().collect())
-    live.last_seq = 1
-    live.apply(second, 1)
-    assert sorted(r["point_id"] for r in live.read().collect()) == once == [2, 3]
+    check_tree(summary.tree(), [r["point_id"] for r in live.read().collect()])
 
 
 def test_exact_solutions_are_lower_bounds(five):
@@ -257,13 +453,37 @@ def test_exact_solutions_are_lower_bounds(five):
         assert best["cost"] <= cost + 1e-3 and best["cost"] <= medoids["cost"] + 1e-3
 
 
-def test_fast_seeds_are_points(spark):
-    points = pts_orders(spark, SF)
-    seeds = grid_seeding.fast_seeds(points, 6, 2, 5)
-    assert len({key for _, _, key in seeds}) == 6
-    fast, _ = kmeans.sq_cost(points, [(i, c) for i, c, _ in seeds])
-    one, _ = kmeans.sq_cost(points, [(0, seeds[0][1])])
-    assert fast < one
+def test_fast_seeds_against_a_loop(spark, monkeypatch):
+    """Every round by plain Python over all points."""
+    monkeypatch.setattr(grid_seeding, "PROPOSALS", 5)
+    points = pts_orders(spark, SF).where("point_id % 6 = 0")
+    rows = {r["point_id"]: (r["weight"], list(r["coords"])) for r in points.collect()}
+    ids = np.array(sorted(rows))
+    ids = ids[small.in_bucket_order(ids)].tolist()
+    got = grid_seeding.fast_seeds(points, 9, 2, 5)
+    grids = grid_seeding.grids_for(points, 2, 5)
+    cells = {i: grids.cells_of(rows[i][1]) for i in ids}
+    seeds, turn = [], 0
+    while len(seeds) < 9:
+        near = {i: min([grid_seeding.FAR, *(grids.difference_of(cells[i], cells[s]) for s in seeds)]) for i in ids}
+        weights = np.array([rows[i][0] * (grids.distance_of(near[i]) ** 2 if seeds else 1.0) for i in ids])
+        n = 5 if seeds else 1
+        drawn = [ids[k] for k in small.draw(weights, small.uniforms(5, f"fast{turn}", range(n)))]
+        new = []
+        for j, i in enumerate(drawn):
+            now = min([near[i], *(grids.difference_of(cells[i], cells[s]) for s in new)])
+            if not seeds or now == near[i] or small.uniform(5, f"accept{turn}", j) < (grids.distance_of(now) / grids.distance_of(near[i])) ** 2:
+                new.append(i)
+        seeds, turn = seeds + new[: 9 - len(seeds)], turn + 1
+    assert [key for _, _, key in got] == seeds and len(set(seeds)) == 9
+    assert all(list(c) == rows[key][1] for _, c, key in got)
+
+
+def test_fast_seeds_with_an_outlier_and_equal_points(spark):
+    far = spark.createDataFrame([(i, 1.0, [float(i % 10), float(i // 10)]) for i in range(100)] + [(1000, 1.0, [1e6, 1e6])], POINTS)
+    assert len({key for _, _, key in grid_seeding.fast_seeds(far, 12, 2, 1)}) == 12
+    same = spark.createDataFrame([(i, 1.0, [1.0, 2.0]) for i in range(6)], POINTS)
+    assert len(grid_seeding.fast_seeds(same, 3, 2, 1)) == 1 and grid_seeding.fast_seeds(same.limit(0), 3, 2, 1) == []
 
 
 def test_report_file(spark, tmp_path):

@@ -42,26 +42,17 @@ def test_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
-def test_report_covers_the_log_from_maintained_trees(spark, monkeypatch):
+def test_report_covers_the_log_from_maintained_trees(spark):
     from driftsum.plans import report
-    from driftsum.streaming.maintain import Summary
+    from driftsum.streaming.maintain import Settings
 
-    followed = []
-    follow = Summary.follow
-    monkeypatch.setattr(Summary, "follow", lambda self, points: (followed.append(id(self)), follow(self, points))[1])
+    assert report.positions(1050, 500) == [0, 500, 1000] and report.positions(1050, 500, 80) == [79, 500, 1000] and report.positions(5, 10) == [0]
     ops = queries.generators.sliding_window(queries.pts_orders(spark, SF), queries.WINDOW, queries.P, queries.SEED)
-    rows = report.experiment(ops, 2, queries.K, queries.DRAWS, queries.SEED, every=1000, checkpoints=1).collect()
-    last = ops.agg({"seq": "max"}).first()[0]
-    assert [r["op"] for r in rows] == [at for at in range(0, last + 1, 1000)][-1:] and min(r["op"] for r in rows) > 0
-    assert len(followed) == 2 * (last // 1000 + 1) and len(set(followed)) == 2  # two trees, kept from the first position on
+    rows = report.experiment(ops, Settings(k=3, dims=2, size=100, cutoff_factor=2.0, insertion_factor=2.0, remove_factor=0.1), every=1000, checkpoints=1, first=400).collect()
+    assert [r["op"] for r in rows] == [2000]
     for r in rows:
-        assert r["t_c"] > 0 and all(0.3 < r[f"{x}k_q"] < 1.5 for x in "dos"), r
-
-
-def test_constant_window_has_all_steps(spark):
-    """5,000 alternating steps, and random ones until nothing is left to delete."""
-    ops = [r["op"] for r in queries.QUERIES["win_const"](spark, SF.replace("sf0.001", "sf0.01")).select("op").collect()]
-    assert len(ops) > 5_500 and ops.count(1) == ops.count(0)
+        assert r["t_c"] > 0 and all(0.3 < r[f"{x}k_q"] < 1.5 for x in "dos") and r["dc_t"] > 0 and r["oc_t"] > 0, r
+    assert report.experiment(ops.limit(0), Settings(k=3, dims=2, size=100), every=10).collect() == []
 
 
 def test_entry(spark):
