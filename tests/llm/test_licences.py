@@ -13,7 +13,9 @@ def test_entire_texts(spark, hard, nothing):
     docs = spark.createDataFrame([(i, t, "d", "l") for i, t in enumerate(variants)], "doc_id long, text string, digest string, licence string")
     got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(docs).collect()}
     assert [got[i] for i in range(len(variants))] == ["MIT", "MIT", "MIT", "MIT", "MIT", None, None, None, None, "ISC"]
-    assert licences.scan_licences(hard).count() == hard.count() and licences.scan_licences(nothing).collect() == []
+    rows = licences.scan_licences(hard).collect()
+    assert len(rows) == hard.count() and all(r["n_notices"] == 0 and r["licence"] is None and len(r["digest"]) == 64 for r in rows)
+    assert licences.scan_licences(nothing).collect() == []
 
 
 def test_notices(spark):

@@ -61,3 +61,69 @@ def test_hard_texts(hard, nothing):
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
     assert by[8]["media_sha256"] == by[9]["media_sha256"] and by[8]["feature"] == by[9]["feature"]
     assert media.read_media(media.encode_media(nothing)).collect() == []
+
+
+def plain_png(data):
+    """Width and samples of a PNG, chunk by chunk and byte by byte."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, packed = 8, b""
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            width, height = (int.from_bytes(body[i : i + 4], "big") for i in (0, 4))
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(packed)
+    assert kind == b"IEND" and len(raw) == height * (width + 1)
+    out = bytearray()
+    for r in range(height):
+        line = raw[r * (width + 1) : (r + 1) * (width + 1)]
+        for x in range(width):
+            a = out[r * width + x - 1] if x else 0
+            b = out[(r - 1) * width + x] if r else 0
+            assert line[0] in (0, 1, 2)
+            out.append((line[1 + x] + (0, a, b)[line[0]]) % 256)
+    return width, bytes(out)
+
+
+def plain_hash(width, payload):
+    """Box averages to 32 x 32, the cosine transform by its definition, bits above the median."""
+    import math
+    import statistics
+
+    rows = [list(payload[i : i + width]) for i in range(0, len(payload), width)]
+
+    def shrink(lines):
+        n = len(lines)
+        if n < 32:
+            return [lines[i * n // 32] for i in range(32)]
+        cut = [lines[i * n // 32 : (i + 1) * n // 32] for i in range(32)]
+        return [[sum(c) / len(part) for c in zip(*part)] for part in cut]
+
+    small = [list(x) for x in zip(*shrink([list(x) for x in zip(*shrink(rows))]))]
+    wave = [[math.cos(math.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(wave[u][y] * small[y][x] * wave[v][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = statistics.median(low)
+    return f"{int(''.join(str(int(v > middle)) for v in low), 2):016x}"
+
+
+def test_query_against_plain_versions(spark):
+    """Every column of every document of the smallest table; the image is stored as the encoder makes it, and read by another reader."""
+    import hashlib
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    texts = dict(duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    for r in media.op7_media(spark, sf).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stored = media.encode_png(payload)
+        if len(raw) < 20_000:
+            assert plain_png(stored) == (64, payload)
+        assert [r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")] == [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == plain_hash(64, payload)

@@ -1,8 +1,14 @@
+import hashlib
+import math
+
 import corpus_pipeline
 import duckdb
 import pytest
+import test_near_duplicates
+import test_secrets
+from tokenizers import Tokenizer
 
-from driftsum.llm import registry
+from driftsum.llm import bpe, registry, secrets, toxicity
 from driftsum.session import materialize, table
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +32,46 @@ def test_run_gives_what_the_stages_give(spark):
     assert key(corpus_pipeline.run(spark, SF)) == key(docs)
 
 
+def plain_pipeline(spark):
+    """The rows of run() by plain versions of each stage."""
+    model = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    weights = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    docs = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "source").collect()]
+    logit = lambda t: model.bias + sum(weights.get(i, 0.0) for i in toxicity.features(t).tolist())
+    docs = [d for d in docs if 1 / (1 + math.exp(-max(-30, min(30, logit(d[1]))))) < toxicity.THRESHOLD]
+    keep = {c for _, _, c in test_near_duplicates.brute([d[:2] for d in docs], 5, 80)}
+    docs = [d for d in docs if d[0] in keep]
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    docs = [(i, test_secrets.cleaned(t, ratios), s) for i, t, s in docs]
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len((t or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while free:  # sources that are full give the rest to the others
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level > 2 * sizes[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left, free = left - sum(2 * sizes[s] for s in full), free - full
+    library, out = Tokenizer.from_file(bpe.default_vocabulary()), []
+    for i, t, s in docs:
+        rate = min(2.0, target[s] / sizes[s]) if sizes[s] else 0.0
+        u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        out += [(i, len(ids), b"".join(x.to_bytes(4, "little") for x in ids), hashlib.sha256((t or "").encode()).hexdigest())] * (int(rate) + (u < rate - int(rate)))
+    return sorted(out)
+
+
+def test_run_against_plain_versions(spark):
+    got = sorted((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect())
+    expected = plain_pipeline(spark)
+    assert got == expected and 0 < len(got)
+
+
 def test_hard_texts_pass_all_stages(spark, hard, nothing):
     docs = hard
     for name, stage in corpus_pipeline.STAGES[:-1]:
