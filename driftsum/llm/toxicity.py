@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from driftsum.llm.text import mix, slices
 from driftsum.session import materialize, release, small_batches, table
 
-BITS, ROWS, FEATURES = 20, 8_000, 32_000_000
+BITS, ROWS, FEATURES = 20, 8_000, 16_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.0, 3
 THRESHOLD, FOLDS = 0.7, 4
 _TOKEN = re.compile(r"\w+")
