@@ -9,7 +9,8 @@ Levels are computed in bands: one grouped call takes all rows below a node of th
 ``BAND_ROWS`` at most, and makes every level of the band, so a tree over billions of points is a handful of jobs.
 A change sends only the changed nodes, their siblings and their ancestors through these calls.
 
-Leaves are tables too: their sizes and the few numbers that decide where points go are counted by the cluster,
+Trees of at most ``MEMORY_ROWS`` points are changed in memory, by the same rules and with the same result: many small jobs
+would cost more than the work. Leaves of larger ones are tables too: their sizes and the few numbers that decide where points go are counted by the cluster,
 and only single numbers come to the driver.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftsum.operators.generators import numbered
-from driftsum.operators.small import reduce_rows
+from driftsum.operators.small import in_bucket_order, reduce_rows
 from driftsum.session import materialize
 
 ROWS = "level int, node_id long, point_id long, is_center boolean, w_milli long, coords array<double>"
@@ -32,6 +33,7 @@ NAMES = ["level", "node_id", "point_id", "is_center", "w_milli", "coords"]
 #: With ``fresh``: rows that a batch appends; rows without a point are markers of changed nodes (fresh: by appends alone).
 CHANGES = ROWS + ", fresh boolean"
 BAND_ROWS = 1 << 16
+MEMORY_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -58,12 +60,13 @@ class Shape:
 
 @dataclass
 class Tree:
-    """rows: all levels; leaves: their number; open: the leaf that takes points next; height: levels above the leaves."""
+    """rows: all levels; leaves: their number; open: the leaf that takes points next; points: rows of the leaves, if known; height: levels above the leaves."""
 
     rows: DataFrame
     shape: Shape
     leaves: int
     open: int | None = None
+    points: int | None = None
 
     @property
     def height(self) -> int:
@@ -186,12 +189,28 @@ def _up(column, shape: Shape, low: int, high: int):
     return column
 
 
-def changes(rows: DataFrame | None, changed: DataFrame, leaves: int, shape: Shape) -> DataFrame:
+def _in_memory(rows: DataFrame | None, changed: DataFrame, leaves: int, shape: Shape) -> DataFrame:
+    """:func:`changes` as a single call over all rows."""
+    table, height = changed.select(*NAMES, "fresh").toArrow(), height_of(leaves, shape)
+    if not height:
+        return changed
+    send = [table]
+    if rows is not None:
+        marks = table.filter(table.column("point_id").is_null()).column("node_id").to_numpy()
+        old = rows.where(F.col("level") <= height).select(*NAMES, F.lit(False).alias("fresh")).toArrow()
+        keep = (old.column("level").to_numpy() > 0) | ~np.isin(old.column("node_id").to_numpy(), marks)
+        send.append(old.filter(pa.array(keep)).cast(table.schema))
+    return changed.sparkSession.createDataFrame(_band(shape, 0, height)(pa.concat_tables(send)), CHANGES).unionAll(changed.select(*NAMES, "fresh"))
+
+
+def changes(rows: DataFrame | None, changed: DataFrame, leaves: int, shape: Shape, points: int | None = None) -> DataFrame:
     """All changed nodes of a tree with ``leaves`` leaves, in the layout of CHANGES: their new rows, and a marker for each.
 
     ``changed`` has the same layout and holds level 0: all rows of each changed leaf, and a marker, also where
-    none are left. ``rows`` is the tree before (null: there was none).
+    none are left. ``rows`` is the tree before (null: there was none), ``points`` the number of points before and after, if known.
     """
+    if points is not None and points <= MEMORY_ROWS:
+        return _in_memory(rows, changed, leaves, shape)
     out = [materialize(changed, "tree")]
     for low, high in bands(leaves, shape):
         below = out[-1].where(F.col("level") == low).withColumn("group", _up(F.col("node_id"), shape, low, high))
@@ -242,15 +261,16 @@ def build(points: DataFrame, shape: Shape) -> Tree:
     """A new tree; the last leaf is open unless it is full."""
     rows = materialize(leaves(points, shape), "tree")
     out = over(rows, shape)
-    return Tree(out.rows, shape, leaf_count(rows.count(), shape.leaf_factor)) if isinstance(shape, FlatShape) else out
+    return Tree(out.rows, shape, leaf_count(out.points, shape.leaf_factor), None, out.points) if isinstance(shape, FlatShape) else out
 
 
 def over(leaf_rows: DataFrame, shape: Shape) -> Tree:
     """The tree over given leaves, all of whose levels are computed; the leaf with the last number is open unless it is full."""
-    last = leaf_rows.groupBy("node_id").count().agg(F.max(F.struct("node_id", "count")).alias("x")).first()["x"]
+    found = leaf_rows.groupBy("node_id").count().agg(F.max(F.struct("node_id", "count")).alias("x"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
+    last, points = found["x"], found["n"]
     count = 0 if last is None else last["node_id"] + 1
-    delta = changes(None, marked(leaf_rows.withColumn("fresh", F.lit(False))), count, shape)
-    return Tree(delta.where("point_id is not null").select(*NAMES), shape, count, None if last is None or last["count"] >= shape.leaf else last["node_id"])
+    delta = changes(None, marked(leaf_rows.withColumn("fresh", F.lit(False))), count, shape, points)
+    return Tree(delta.where("point_id is not null").select(*NAMES), shape, count, None if last is None or last["count"] >= shape.leaf else last["node_id"], points)
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -271,6 +291,12 @@ def update(tree: Tree, inserted: DataFrame | None, deleted: DataFrame | None, sh
     leaf0 = tree.level(0).select(*NAMES)
     none = spark.createDataFrame([], "point_id long, weight double, coords array<double>")
     inserted = none if inserted is None else inserted.select("point_id", "weight", "coords")
+    if tree.points is not None and tree.points <= MEMORY_ROWS and shape.height is None:
+        new = _leaf_rows(inserted, F.lit(0).cast("long")).limit(MEMORY_ROWS + 1).toArrow()
+        if new.num_rows <= MEMORY_ROWS:
+            ids = lambda df, name: np.empty(0, np.int64) if df is None else df.select(name).distinct().toArrow().column(name).to_numpy()
+            level0, count, open_ = _update_in_memory(tree, shape, leaf0.toArrow(), new, ids(deleted, "point_id"), ids(refresh, "node_id"))
+            return spark.createDataFrame(level0, CHANGES), count, open_
     touched, kept = spark.createDataFrame([], "node_id long"), leaf0
     if deleted is not None:
         gone = deleted.select("point_id").distinct()
@@ -282,6 +308,64 @@ def update(tree: Tree, inserted: DataFrame | None, deleted: DataFrame | None, sh
     return run(tree, shape, kept, sizes, touched, materialize(inserted, "tree-inserted"), refresh)
 
 
+def _dealt(rows: DataFrame, node) -> DataFrame:
+    """Rows (point_id, w_milli, coords) as new rows of leaves."""
+    return rows.select(F.lit(0).alias("level"), node.alias("node_id"), "point_id", F.lit(False).alias("is_center"), "w_milli", "coords", F.lit(True).alias("fresh"))
+
+
+def _update_in_memory(tree: Tree, shape: Shape, old: pa.Table, new: pa.Table, gone: np.ndarray, refresh: np.ndarray) -> tuple[pa.Table, int, int | None]:
+    """_update_binary() on arrays."""
+    leaf, before = shape.leaf, tree.shape.leaf
+    column = lambda t, c: t.column(c).to_numpy()
+    node, ids = column(old, "node_id"), column(old, "point_id")
+    lost = np.isin(ids, gone)
+    touched, leaves_ = np.unique(node[lost]), np.unique(node)
+    n = np.bincount(np.searchsorted(leaves_, node[~lost]), minlength=len(leaves_)) if len(leaves_) else np.empty(0, np.int64)
+    short = (n == 0) | ((n < leaf) & (np.isin(leaves_, touched) | (leaf != before))) | ((n > 2 * leaf) & (leaf < before))
+    size_of = dict(zip(leaves_.tolist(), n.tolist(), strict=True))
+    current, n_open = tree.open, size_of.get(tree.open, 0)
+    if n_open == 0 or n_open >= leaf:
+        first = leaves_[short & (n > 0) & (n < leaf)]
+        current = int(first[0]) if len(first) else None
+        n_open = size_of.get(current, 0)
+    holes = leaves_[short & (leaves_ != (-1 if current is None else current))]
+    holes = holes[in_bucket_order(holes)]
+    stays = ~lost & ~np.isin(node, holes)
+    moved_out = np.flatnonzero(~lost & np.isin(node, holes))
+    stream = pa.concat_tables([old.take(moved_out), new.cast(old.schema)])
+    stream = stream.take(in_bucket_order(column(stream, "point_id")))
+    m, h, room = stream.num_rows, len(holes), leaf - n_open if current is not None else 0
+    slots = -(-max(0, m - room) // leaf)
+    slot = (np.arange(m) - room) // leaf
+    dealt = np.where(slot >= h, tree.leaves - h + slot, np.append(holes, 0)[np.clip(slot, 0, h)])
+    dealt = np.where(slot < 0, -1 if current is None else current, dealt)
+    count = tree.leaves + slots - h
+    free = holes[slots:]
+    last = leaves_[(leaves_ >= count) & ~np.isin(leaves_, free)]
+    moves = dict(zip(last[in_bucket_order(last)].tolist(), free[free < count].tolist(), strict=True))
+    stay = np.setdiff1d(np.concatenate([touched, refresh, dealt]), holes)
+    at = np.flatnonzero(stays & np.isin(node, np.concatenate([stay, last])))
+    number = lambda x: np.array([moves.get(i, i) for i in x.tolist()], np.int64)
+    rows = pa.concat_tables([old.take(at), stream])
+    nodes = np.concatenate([number(node[at]), number(dealt)])
+    fresh = np.repeat([False, True], [len(at), m])
+    hard = np.unique(np.concatenate([touched, holes, leaves_[leaves_ >= count], np.array([*moves.values()], np.int64), np.intersect1d(refresh, leaves_)]).astype(np.int64))
+    marks = np.union1d(nodes, hard).astype(np.int64)
+    if m > room or current is None:
+        rest = max(0, m - room) % leaf
+        current = None if not rest else count - 1 if slots > h else int(holes[slots - 1])
+    elif m == room:
+        current = None
+    blank = len(marks)
+    level0 = pa.table({
+        "level": pa.array(np.zeros(len(nodes) + blank, np.int32)), "node_id": pa.array(np.concatenate([nodes, marks])),
+        "point_id": pa.concat_arrays([rows.column("point_id").combine_chunks(), pa.nulls(blank, pa.int64())]), "is_center": pa.concat_arrays([pa.array(np.zeros(len(nodes), bool)), pa.nulls(blank, pa.bool_())]),
+        "w_milli": pa.concat_arrays([rows.column("w_milli").combine_chunks(), pa.nulls(blank, pa.int64())]), "coords": pa.concat_arrays([rows.column("coords").combine_chunks(), pa.nulls(blank, old.schema.field("coords").type)]),
+        "fresh": pa.array(np.concatenate([fresh, ~np.isin(marks, hard)])),
+    })
+    return level0, count, moves.get(current, current)
+
+
 def _update_binary(tree: Tree, shape: Shape, kept: DataFrame, sizes: DataFrame, touched: DataFrame, inserted: DataFrame, refresh: DataFrame | None) -> tuple[DataFrame, int, int | None]:
     few = sizes.where((F.col("n") == 0) | ((F.col("n") < shape.leaf) & (F.lit(shape.leaf != tree.shape.leaf)))).select("node_id", "n")
     short = sizes.join(touched, "node_id", "left_semi").where(F.col("n") < shape.leaf).unionAll(few)
@@ -301,15 +385,15 @@ def _update_binary(tree: Tree, shape: Shape, kept: DataFrame, sizes: DataFrame,
             current, n_open = row["node_id"], row["n"]
     holes = short.select("node_id") if current is None else short.where(F.col("node_id") != current).select("node_id")
     holes = materialize(numbered(holes, "node_id").select("node_id", F.col("at").alias("slot")), "tree-holes")
-    displaced = kept.join(holes.select("node_id"), "node_id", "left_semi").select("point_id", (F.col("w_milli") / 1000).alias("weight"), "coords")
-    stream = materialize(numbered(displaced.unionAll(inserted)), "tree-stream")
+    displaced = kept.join(holes.select("node_id"), "node_id", "left_semi").select("point_id", "w_milli", "coords")
+    stream = materialize(numbered(displaced.unionAll(_leaf_rows(inserted, F.lit(0)).select("point_id", "w_milli", "coords"))), "tree-stream")
     m, h, room = stream.count(), holes.count(), shape.leaf - n_open if current is not None else 0
     slots = -(-max(0, m - room) // shape.leaf)
     slot = F.floor((F.col("at") - room) / shape.leaf).cast("long")
     dealt = stream.withColumn("slot", slot).join(holes.withColumnRenamed("node_id", "hole"), "slot", "left")
     node = F.when(F.col("slot") >= h, F.lit(tree.leaves - h) + F.col("slot")).otherwise(F.col("hole"))
     node = node if current is None else F.when(F.col("at") < room, F.lit(current)).otherwise(node)
-    dealt = _leaf_rows(dealt, node.cast("long")).withColumn("fresh", F.lit(True))
+    dealt = _dealt(dealt, node.cast("long"))
     count = tree.leaves + slots - h
     # numbers that stay free go to the last leaves
     free = holes.where(F.col("slot") >= slots).select("node_id")
@@ -354,8 +438,8 @@ def _update_flat(tree: Tree, shape: Shape, kept: DataFrame, sizes: DataFrame, to
     place = F.row_number().over(Window.partitionBy("node_id").orderBy("point_id"))
     over_ = kept.withColumn("_n", place)
     above = (F.col("node_id") >= count) | (F.col("_n") > capacity)
-    displaced = over_.where(above).select("point_id", (F.col("w_milli") / 1000).alias("weight"), "coords")
-    stream = materialize(numbered(displaced.unionAll(new.select("point_id", "weight", "coords"))), "tree-stream")
+    displaced = over_.where(above).select("point_id", "w_milli", "coords")
+    stream = materialize(numbered(displaced.unionAll(_leaf_rows(new, F.lit(0)).select("point_id", "w_milli", "coords"))), "tree-stream")
     m = stream.count()
     spark = kept.sparkSession
     ids = spark.range(count).withColumnRenamed("id", "node_id")
@@ -363,7 +447,7 @@ def _update_flat(tree: Tree, shape: Shape, kept: DataFrame, sizes: DataFrame, to
     before = Window.orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)  # from the right; one row for each leaf
     rooms = rooms.withColumn("start", F.coalesce(F.sum("room").over(before), F.lit(0))).where((F.col("room") > 0) & (F.col("start") < m))
     places = rooms.select("node_id", F.explode(F.sequence("start", F.least(F.col("start") + F.col("room"), F.lit(m)) - 1)).alias("at"))
-    dealt = _leaf_rows(stream.join(places, "at"), F.col("node_id")).withColumn("fresh", F.lit(True))
+    dealt = _dealt(stream.join(places, "at"), F.col("node_id"))
     dirty = touched.unionAll(dealt.select("node_id")).unionAll(over_.where(above).select("node_id"))
     if refresh is not None:
         dirty = dirty.unionAll(refresh.select("node_id"))
@@ -377,9 +461,9 @@ def _update_flat(tree: Tree, shape: Shape, kept: DataFrame, sizes: DataFrame, to
 
 def _changed(tree: Tree, level0: DataFrame, count: int, open_: int | None, shape: Shape) -> Tree:
     """The tree after ``level0`` changed; a tree that got lower loses its upper levels."""
-    delta = changes(tree.rows, level0, count, shape)
+    delta = changes(tree.rows, level0, count, shape, tree.points)
     rows = materialize(applied(tree.rows, delta).where(F.col("level") <= height_of(count, shape)), "tree")
-    return Tree(rows, shape, count, open_)
+    return Tree(rows, shape, count, open_, rows.where("level = 0").count())
 
 
 def insert(tree: Tree, points: DataFrame) -> Tree:
@@ -397,7 +481,7 @@ def rebalance(tree: Tree, shape: Shape) -> Tree:
     level0, count, open_ = update(tree, None, None, shape)
     leaf = materialize(applied(tree.level(0), level0), "tree")
     out = over(leaf, shape)
-    return Tree(out.rows, shape, count, open_)
+    return Tree(out.rows, shape, count, open_, out.points)
 
 
 def outer(root: DataFrame, shape: Shape, height: int) -> DataFrame:

@@ -772,8 +772,9 @@ def exact_kmeans(spark, sf_dir):
 
 @query()
 def report(spark, sf_dir):
-    """The last rows of the report on a log that slides over the orders."""
+    """The report on a log that slides over the orders, at each quarter of it."""
     from driftsum.plans.report import experiment
 
-    ops = generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED)
-    return experiment(ops, maintain.Settings(k=K, dims=2, size=DRAWS, cutoff_factor=2.0, insertion_factor=2.0, remove_factor=0.05, seed=SEED), every=1000, checkpoints=8)
+    ops = materialize(generators.sliding_window(pts_orders(spark, sf_dir), WINDOW, P, SEED), "report-log")
+    every = max(1, (ops.agg(F.max("seq")).first()[0] or 0) // 4)
+    return experiment(ops, maintain.Settings(k=K, dims=2, size=DRAWS, cutoff_factor=2.0, insertion_factor=2.0, remove_factor=0.05, seed=SEED), every, checkpoints=4)

@@ -206,7 +206,7 @@ class Summary:
 
     def tree(self, meta: dict | None = None) -> tree.Tree | None:
         meta = meta or self.versions.newest()
-        return meta and tree.Tree(self._nodes(meta), self._shape(meta), meta["leaves"], meta["open"])
+        return meta and tree.Tree(self._nodes(meta), self._shape(meta), meta["leaves"], meta["open"], meta["live"] + meta["noted"])
 
     def _shape(self, meta: dict) -> tree.Shape:
         return self.settings.shape(meta["np"])
@@ -260,7 +260,7 @@ class Summary:
             self._commit(batch, state, made.rows, leaves, open_, None if flush else noted)
             return
         level0, leaves, open_ = tree.update(before, points, noted if flush else None, shape, refresh)
-        delta = tree.changes(before.rows, level0, leaves, shape)
+        delta = materialize(tree.changes(before.rows, level0, leaves, shape, max(before.points, live)), "tree")
         self._commit(batch, state, delta, leaves, open_, None if flush else noted, meta)
 
     def _commit(self, batch: int, state: dict, rows: DataFrame, leaves: int, open_: int | None, noted: DataFrame | None, meta: dict | None = None) -> None:

@@ -294,6 +294,7 @@ def test_tree_follows_changes(spark, monkeypatch):
     shape = tree.Shape(leaf=20, size=12, cutoff=15)
     for rows in (1 << 16, 1):
         monkeypatch.setattr(tree, "BAND_ROWS", rows)
+        monkeypatch.setattr(tree, "MEMORY_ROWS", -1 if rows == 1 else 100_000)
         t = tree.build(points.where("point_id % 3 = 0"), shape)
         live = {i for i in ids if i % 3 == 0}
         check_tree(t, live)
@@ -309,6 +310,22 @@ def test_tree_follows_changes(spark, monkeypatch):
     check_tree(tree.insert(empty, points.limit(30)), [r["point_id"] for r in points.limit(30).collect()])
 
 
+def test_trees_in_memory_change_alike(spark, monkeypatch):
+    """Deletes, inserts and refreshed leaves at once, and a new shape: the same tree in memory and by distributed steps."""
+    points = pts_orders(spark, SF).withColumn("weight", F.col("weight") + 0.005)
+
+    def run(most):
+        monkeypatch.setattr(tree, "MEMORY_ROWS", most)
+        shape = tree.Shape(leaf=40, size=12, cutoff=12, insertion=60)
+        t = tree.build(points.where("point_id % 3 = 0"), shape)
+        t = tree._changed(t, *tree.update(t, points.where("point_id % 3 = 1 and point_id < 300"), points.where("point_id % 3 = 0 and point_id < 700").select("point_id"), None, spark.range(2, 4).withColumnRenamed("id", "node_id")), shape)
+        out = [(of_tree(t), t.leaves, t.open)]
+        t = tree.rebalance(t, tree.Shape(leaf=15, size=12, cutoff=12))
+        return [*out, (of_tree(t), t.leaves, t.open)]
+
+    assert run(100_000) == run(-1)
+
+
 def test_appends_reach_inner_nodes_without_reductions(spark):
     points = pts_orders(spark, SF)
     shape = tree.Shape(leaf=20, size=12, cutoff=12, insertion=200)
