@@ -114,7 +114,8 @@ def _random_victims(points: DataFrame, seed: int, plan) -> DataFrame:
     """A log in which deletes hit random live points.
 
     Which point is alive depends on all steps before, so the log of positions is made in one task, which holds the positions of
-    the live points and gives the log away in pieces; the points are joined to it afterwards. Step t uses the
+    the live points and gives the log away in pieces; the points are joined to it afterwards. The log is written first, for the
+    planner would take what is made from a single row for small, and broadcast it through the driver whatever its length. Step t uses the
     numbers of t: a coin, and a victim's place in the list, whose last entry then takes that place.
     """
     spark = points.sparkSession
@@ -145,7 +146,7 @@ def _random_victims(points: DataFrame, seed: int, plan) -> DataFrame:
                         log = []
                 yield pd.DataFrame(log, columns=["seq", "at", "op"])
 
-    log = spark.range(1, numPartitions=1).mapInPandas(run, "seq long, at long, op int")
+    log = materialize(spark.range(1, numPartitions=1).mapInPandas(run, "seq long, at long, op int"), "random-log")
     return log.join(ranked(points), "at").select("seq", "point_id", "op", "weight", "coords")
 
 

@@ -183,6 +183,16 @@ def test_random_victims_are_alive(spark, make):
         (live.add if r["op"] else live.discard)(r["point_id"])
 
 
+def test_random_logs_are_joined_by_their_real_size(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # less than the log has
+    try:
+        plan = generators.snake_window(pts_orders(spark, SF), 50, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_distortion_and_quality():
     assert metrics.distortion(2, 2.5, 1.8, 2.2) == pytest.approx(1.25)
     assert metrics.quality(2, 2.2) == pytest.approx(0.909091, abs=1e-6)
