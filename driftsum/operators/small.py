@@ -11,6 +11,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from driftsum.operators import kmeans as distributed
+
 #: More rows than this are left to the distributed operators.
 MOST_ROWS = 200_000
 _BUCKET_DIGITS = 4
@@ -74,10 +76,10 @@ def lloyd(coords: np.ndarray, weights: np.ndarray, centres: np.ndarray, rounds:
 
 
 def kmeans(points: DataFrame, k: int, seed: int, rounds: int, tolerance: float) -> list[tuple[int, list[float]]]:
-    """The same solution as ``operators.kmeans.kmeans``, for a table of at most MOST_ROWS rows (point_id, weight, coords)."""
+    """The same solution as ``operators.kmeans.kmeans`` on rows (point_id, weight, coords), which makes it if they are more than MOST_ROWS."""
     rows = points.select("point_id", "weight", "coords").limit(MOST_ROWS + 1).toArrow()
     if rows.num_rows > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows")
+        return distributed.kmeans(points, k, seed, rounds, tolerance)
     if not rows.num_rows:
         return []
     ids = rows.column("point_id").to_numpy()

@@ -420,7 +420,7 @@ QUERIES["kmeans"], SQL["kmeans"] = QUERIES.pop("kmeans_"), SQL.pop("kmeans_")
 
 @query(_KMEANS)
 def kmeans_small(spark, sf_dir):
-    """The same on rows in memory, as for summaries."""
+    """The same on rows in memory, as for summaries; by distributed rounds if they are too many."""
     return _shown(spark, small.kmeans(pts_orders(spark, sf_dir), K, SEED, kmeans.ROUNDS, kmeans.TOLERANCE))
 
 

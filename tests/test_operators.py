@@ -247,6 +247,16 @@ def test_rows_in_memory_are_solved_alike(spark):
     assert small.kmeans(points.limit(0), 2, 1, 3, 0.0) == []
 
 
+def test_more_rows_than_fit_in_memory_are_solved_too(spark, monkeypatch):
+    points = pts_orders(spark, SF)
+    near = small.kmeans(points, 3, 4, kmeans.ROUNDS, kmeans.TOLERANCE)
+    monkeypatch.setattr(small, "MOST_ROWS", 1000)
+    assert points.count() > small.MOST_ROWS
+    far = small.kmeans(points, 3, 4, kmeans.ROUNDS, kmeans.TOLERANCE)
+    assert [i for i, _ in far] == [i for i, _ in near]
+    assert [x for _, c in far for x in c] == pytest.approx([x for _, c in near for x in c])
+
+
 def test_seeds_with_a_written_distance(spark, monkeypatch):
     points = pts_orders(spark, SF).where("point_id % 7 = 0")
     plain = kmeans.seed_centres(points, 7, 2)
