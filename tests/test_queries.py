@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from driftsum.plans import queries
 
@@ -55,6 +56,26 @@ def test_report_covers_the_log_from_maintained_trees(spark):
     assert report.experiment(ops.limit(0), Settings(k=3, dims=2, size=100), every=10).collect() == []
 
 
+def test_trees_above_twelve_levels_equal_sql(spark, duck):
+    """The registered SQL of the trees ends at level 12; the same SQL with a level more holds for 5,000 leaves."""
+    from driftsum.operators import tree
+    from driftsum.plans import sql as q
+    from driftsum.sources.points import pts_orders
+
+    folder = "/root/testdata/sf0.01"
+    shape = tree.Shape(leaf=3, size=20, cutoff=30)
+    built = tree.build(pts_orders(spark, folder), shape)
+    assert built.height == queries._LEVELS + 1
+    path = f"{folder}/orders.parquet"
+    orders = f"orders AS (SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}')"
+    levels = (orders, queries.ORDERS, *q.tree("pts_orders", 3, 13, 3, 20, 30, shape.seed), q.tree_height())
+    sizes = " UNION ALL ".join(f"SELECT {i} AS level, node_id, count(*) AS n, sum(w) AS w FROM lvl_{i} GROUP BY node_id" for i in range(14))
+    assert plain(tree.shape_of(built.rows).collect()) == plain([map(int, r) for r in duck.execute(q.with_(*levels) + sizes).fetchall()])
+    top = duck.execute(q.with_(*levels, *q.reduced("lvl_13", "top", "SELECT h + 1 FROM height", 3, 20, 20, shape.seed)) + "SELECT point_id, is_center, w / 1000, round(x0, 3), round(x1, 3) FROM top").fetchall()
+    rows = tree.summary(built).select("point_id", "is_center", "weight", *[F.round(F.col("coords")[i], 3) for i in range(2)]).collect()
+    assert plain(rows) == plain(top)
+
+
 def test_entry(spark):
     import __spark_entry__
 
